@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import tokens
+from tessera.llm import simhash, tokens
 from tessera.llm.bpe import Bpe
 from tessera.llm.common import table
 
@@ -20,6 +20,10 @@ def tokenizer(spark: SparkSession) -> Bpe:
     return Bpe(spark, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.by_limit(tokens.histogram(table(spark, sf_dir, "documents"), tokenizer(spark)))
 
@@ -36,6 +40,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_dedup": op1_simhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op10_bpe": op10_bpe,
 }
