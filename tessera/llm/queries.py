@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, simhash, tokens
+from tessera.llm import chat, quality, simhash, tokens
 from tessera.llm.bpe import Bpe
 from tessera.llm.common import table
 
@@ -43,6 +43,18 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: A document is kept if it scores this much at least.
+QUALITY = 0.3
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    weights = quality.model(docs, table(spark, sf_dir, "labels").filter(~held_out))
+    out = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), quality.scored(docs, weights).alias("score"))
+    return out.withColumn("predicted", (F.col("score") >= QUALITY).cast("int"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     bpe = tokenizer(spark)
     ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -58,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_chat_format": op6_chat_format,
+    "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
 
