@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, quality, simhash, tokens
+from tessera.llm import chat, lines, quality, simhash, tokens
 from tessera.llm.bpe import Bpe
 from tessera.llm.common import table
 
@@ -43,6 +43,17 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id",
+        F.size("removed_spans").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed_spans", lambda s: F.concat_ws("+", s["start"], s["length"])), " ").alias("removed_spans"),
+        F.length("text").cast("long").alias("kept_chars"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 #: A document is kept if it scores this much at least.
 QUALITY = 0.3
 
@@ -70,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op3_token_counts": op3_token_counts,
     "op6_chat_format": op6_chat_format,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_bpe": op10_bpe,
 }
@@ -96,4 +108,15 @@ SQL: dict[str, str] = {
             sum(length({_escaped("text")}) + case when same then {len(chat.NEXT)} else {len(chat.START + chat.TEXT + chat.END)} + length({_escaped("role")}) end)::bigint as formatted_chars
         from kept group by conv_id
     """,
+    "op8_line_dedup": f"""
+        with cut as (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null),
+        each as (select doc_id, parts, unnest(range(len(parts))) as i from cut),
+        units as (select doc_id, i, parts[i + 1] as part, trim(regexp_replace(lower(parts[i + 1]), '[ \\t\\n\\r\\f]+', ' ', 'g')) as u,
+            sum(length(parts[i + 1]) + 1) over (partition by doc_id order by i) - length(parts[i + 1]) - 1 as start from each),
+        ranked as (select *, u <> '' and length(u) - length(replace(u, ' ', '')) >= {lines.MIN_WORDS - 1} and row_number() over (partition by u order by doc_id, i) > 1 as gone from units),
+        told as (select doc_id, count(*) filter (where gone) as n_removed, coalesce(string_agg(start || '+' || length(part), ' ' order by i) filter (where gone), '') as removed_spans,
+            coalesce(string_agg(part, chr(10) order by i) filter (where not gone), '') as kept from ranked group by doc_id)
+        select doc_id, n_removed, removed_spans, length(kept)::bigint as kept_chars, sha256(kept) as kept_sha256 from told
+        union all select doc_id, 0, '', null, null from documents where text is null
+    """,
 }
