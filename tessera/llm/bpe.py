@@ -32,7 +32,7 @@ LONG = 256
 #: Cells of one matrix at most.
 CELLS = 1 << 21
 #: Pieces that a worker keeps; it starts anew beyond them, so that memory stays bounded.
-KEPT = 600_000
+KEPT = 300_000
 
 
 class PairTable:
@@ -110,11 +110,30 @@ class Encoder:
         self.used += len(ids)
         self.index.update(zip(keys, range(k, k + n), strict=True))
 
+    def _pieces(self, key: str) -> list[str]:
+        """Keys of the pieces of a new chunk; a lone word, and a word with one mark after it, need no pattern."""
+        if key.isalpha():
+            return [key]
+        if key[-1] in ".,;:!?|" and key[:-1].isalpha():
+            return [key[:-1], f" {key[-1]}"]
+        return [p[1:] if p[0] == " " and p[1:2].strip() else f" {p}" for p in self.cut(key[1:] if key[0] == " " else f" {key}")]
+
     def _learn(self, keys: list[str]) -> None:
         """keys: of chunks; after a space a chunk's text itself, else its text without the space before it."""
-        cut = [self.cut(k[1:] if k[0] == " " else f" {k}") for k in keys]
-        pieces = list(dict.fromkeys(p for c in cut for p in c))
-        raw = [p.encode() for p in pieces]
+        cut = [self._pieces(k) for k in keys]
+        pieces = list(dict.fromkeys(p for c in cut for p in c if p not in self.index))
+        if pieces:
+            self._merge(pieces)
+        many = [i for i, k in enumerate(keys) if k not in self.index]
+        if many:
+            each = np.fromiter((self.index[p] for i in many for p in cut[i]), np.int64)
+            n = self.size[each]
+            ends = np.concatenate([[0], np.cumsum(n)])
+            ids = self.ids[np.repeat(self.at[each] - ends[:-1], n) + np.arange(ends[-1])]
+            self._keep([keys[i] for i in many], ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(cut[i]) for i in many])])]))
+
+    def _merge(self, pieces: list[str]) -> None:
+        raw = [(p[1:] if p[0] == " " else f" {p}").encode() for p in pieces]
         by: dict[int, list[int]] = {}
         flat: list[np.ndarray] = []
         owner: list[np.ndarray] = []  # which piece each of the ids belongs to
@@ -137,13 +156,7 @@ class Encoder:
         owns = np.concatenate(owner)
         order = np.argsort(owns, kind="stable")
         ids, size = np.concatenate(flat)[order], np.bincount(owns, minlength=len(pieces))
-        at = np.cumsum(size) - size
-        number = dict(zip(pieces, range(len(pieces)), strict=True))
-        each = np.fromiter((number[p] for c in cut for p in c), np.int64)
-        n = size[each]
-        ends = np.concatenate([[0], np.cumsum(n)])
-        ids = ids[np.repeat(at[each] - ends[:-1], n) + np.arange(ends[-1])]
-        self._keep(keys, ids, np.diff(ends[np.concatenate([[0], np.cumsum([len(c) for c in cut])])]))
+        self._keep(pieces, ids, size)
 
     def _matrix(self, raw: list[bytes], group: list[int], flat: list[np.ndarray], owner: list[np.ndarray]) -> None:
         """Merge the rows of one matrix until none has a pair that merges."""
@@ -277,17 +290,14 @@ def _encoder(sent, pattern: str) -> Encoder:
     return _ready[key]
 
 
-def _runs(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def _runs(texts: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
     """Runs of rows of some MB at most; one longer text is a run of its own."""
-    size, start = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
-        if size and size + n > chars:
-            yield start, i
-            size, start = 0, i
-        size += n
-    if start < len(texts):
-        yield start, len(texts)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + chars, "right")))
+        yield i, j
+        i = j
 
 
 class Bpe:
@@ -306,11 +316,10 @@ class Bpe:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = _encoder(sent, pattern)
             for b in batches:
-                texts = b.column(text).to_pylist()
-                rest = b.drop_columns([out]) if out in b.schema.names else b
+                texts = b.column(text)
                 for i, j in _runs(texts):
-                    ids, offsets = e.encode(texts[i:j])
-                    column = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
+                    ids, offsets = e.encode(texts.slice(i, j - i).to_pylist())
+                    rest, column = b, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                     yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, column], names=[*rest.schema.names, out])
 
         return base.mapInArrow(run, schema)
@@ -323,8 +332,14 @@ class Bpe:
         def decoded(lists: pa.Array) -> pa.Array:
             e = _encoder(sent, pattern)
             sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            raw, ends = e.decode(flat.astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]))
-            return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+            offsets = np.concatenate([[0], np.cumsum(sizes)])
+            flat, parts, i = lists.flatten().to_numpy(zero_copy_only=False), [], 0
+            while i < len(lists) or not parts:  # some 100,000 ids at a time
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + 200_000, "right")) - 1)
+                j = min(j, len(lists))
+                raw, ends = e.decode(flat[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                parts.append(pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw)]))
+                i = j
+            return pa.concat_arrays(parts)
 
         return decoded(ids)
