@@ -46,12 +46,14 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", cut: str =
     spans = "removed_spans"
     gone = removed_units(df, text, doc_id, cut, min_words).select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash"), "units")
     both = df.drop(spans).join(gone.withColumnRenamed("units", "_gone_units"), F.col(doc_id).eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash")), "left")
-    parts = F.split(text, cut, -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone_units"))
-    kept = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), cut)
+    # the parts are a column of their own: an expression inside a lambda would be made anew for every unit
+    both = both.withColumn("_gone_parts", F.when(F.col("_gone_units").isNotNull(), F.split(text, cut, -1)))
+    parts = F.col("_gone_parts")
+    both = both.withColumn("_gone_stay", F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("_gone_units")))
+    kept = F.array_join(F.transform("_gone_stay", lambda i: F.get(parts, i)), cut)
     # where each unit begins: the lengths before it and a cut for each
-    begins = F.aggregate(F.transform(parts, lambda p: F.length(p) + len(cut)), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    lost = F.transform(F.array_sort("_gone_units"), lambda i: F.struct(F.get(begins, i).alias("start"), F.length(F.get(parts, i)).alias("length")))
+    both = both.withColumn("_gone_from", F.aggregate(F.transform(parts, lambda p: F.length(p) + len(cut)), F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))))
+    lost = F.transform(F.array_sort("_gone_units"), lambda i: F.struct(F.get("_gone_from", i).alias("start"), F.length(F.get(parts, i)).alias("length")))
     none = F.col("_gone_units").isNull()
     out = both.withColumn(spans, F.when(none, F.array().cast("array<struct<start:int,length:int>>")).otherwise(lost)).withColumn(text, F.when(none, F.col(text)).otherwise(kept))
-    return out.drop("_gone_id", "_gone_hash", "_gone_units")
+    return out.drop("_gone_id", "_gone_hash", "_gone_units", "_gone_parts", "_gone_stay", "_gone_from")

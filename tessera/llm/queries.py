@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, lines, quality, simhash, tokens
+from tessera.llm import chat, decontaminate, lines, quality, simhash, tokens
 from tessera.llm.bpe import Bpe
 from tessera.llm.common import table
 
@@ -24,6 +24,11 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", F.col("window").cast("long").alias("window_start"), F.round("similarity", 6).alias("similarity"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.by_limit(tokens.histogram(table(spark, sf_dir, "documents"), tokenizer(spark)))
 
@@ -79,6 +84,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
+    "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
     "op6_chat_format": op6_chat_format,
     "op8_line_dedup": op8_line_dedup,
