@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, lines, pages, quality, simhash, tokens
+from tessera.llm import chat, decontaminate, lines, neighbours, pages, quality, simhash, tokens
 from tessera.llm.bpe import Bpe
 from tessera.llm.common import table
 
@@ -33,6 +33,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.by_limit(tokens.histogram(table(spark, sf_dir, "documents"), tokenizer(spark)))
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(rows, rows.filter("vec_id % 20 = 0"), 20)
+
+
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_dedup": op1_simhash_dedup,
     "op2_decontamination": op2_decontamination,
     "op3_token_counts": op3_token_counts,
+    "op4_neighbours": op4_neighbours,
     "op5_html_text": op5_html_text,
     "op6_chat_format": op6_chat_format,
     "op8_line_dedup": op8_line_dedup,
