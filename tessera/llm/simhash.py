@@ -176,15 +176,12 @@ def fingerprint_components(docs: DataFrame, scratch: Scratch, radius: int = RADI
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = 3) -> DataFrame:
     """df with one row of each component, that of the smallest id. Rows that agree in all columns stay or go together."""
     scratch = Scratch(df.sparkSession, "simhash")
-    fp, root = "_simhash_fp", "_simhash_rank"
-    docs = scratch.save(df.withColumn(fp, with_fingerprint(F.col(text), width)))
-    ids = docs.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"))
-    groups = scratch.save(ids.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    row = F.xxhash64(*df.columns)
+    docs = scratch.save(df.select(F.col(doc_id).alias("doc_id"), row.alias("h"), with_fingerprint(F.col(text), width).alias("fp")))
+    groups = scratch.save(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(groups.select("fp"), radius), scratch)
     marked = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
-    # the winner of a component is an aggregate over (id, hash of the row), which combines before it is shuffled
-    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("i"), F.xxhash64(*df.columns).alias("h"), F.col(fp).alias("f"))
-    rows = docs.select(order.alias("o")).join(marked, F.col("o.f") == F.col("fp")).groupBy("root").agg(F.min("o").alias("o"), F.count("*").alias("c"))
-    won = rows.select(F.col("o.n").alias("n"), F.col("o.i").alias("i"), F.col("o.h").alias("h"))
-    kept = docs.join(won, F.col(doc_id).eqNullSafe(F.col("i")) & (F.xxhash64(*df.columns) == F.col("h")), "left_semi")
-    return kept.select(*df.columns)
+    # the winner of a component is an aggregate over (id, row's hash), which combines before it is shuffled
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
+    won = docs.join(marked, "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_won_id"), F.col("o.h").alias("_won_row"))
+    return df.join(won, F.col(doc_id).eqNullSafe(F.col("_won_id")) & (row == F.col("_won_row")), "left_semi")
