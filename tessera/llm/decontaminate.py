@@ -37,7 +37,8 @@ def shingles(df: DataFrame, key: dict[str, Column], text: str) -> DataFrame:
     # the words are a column of their own: an expression inside a lambda would be made anew for every shingle
     cut = df.select(*[c.alias(name) for name, c in key.items()], words(F.col(text)).alias("_w"))
     count = F.greatest(F.size("_w") - (SHINGLE - 1), F.lit(1))
-    hashed = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("_w", i, SHINGLE)))
+    # words beyond the end are null and add nothing to a hash
+    hashed = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(SHINGLE)]))
     return cut.select(*key, F.when(F.size("_w") > 0, hashed).otherwise(F.array().cast("array<bigint>")).alias("s"))
 
 
