@@ -63,7 +63,7 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "do
     """doc_id, text_hash, item_id, window, similarity: for each document and item the most similar window, counted in
     shingles from 0, of those that reach `similarity`."""
     scratch = Scratch(df.sparkSession, "leaks")
-    of = scratch.save(shingles(items, {"item_id": F.col(item_id), "item_hash": F.xxhash64(item_text)}, item_text).filter(F.size("s") > 0).distinct())
+    of = scratch.save(shingles(items, {"item_id": F.col(item_id), "item_hash": F.xxhash64(item_text)}, item_text)).filter(F.size("s") > 0).distinct()
     item = ["item_id", "item_hash"]
     placed = of.select(*item, F.size("s").alias("n"), F.posexplode("s").alias("offset", "h"))
     # where an item repeats a shingle, the first place lines up as well as any other: the window is verified anyway
@@ -71,10 +71,11 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "do
     chunks = -(-placed.count() // CHUNK)
     docs = shingles(df, {"doc_id": F.col(doc_id), "text_hash": F.xxhash64(text)}, text)
     key = ["doc_id", "text_hash"]
+    # outer, as Spark else filters texts by their number of shingles first, for which it makes words anew for each
     hits = None
     for k in range(chunks):
         part = F.broadcast(placed.filter(F.pmod(F.xxhash64("h"), F.lit(chunks)) == k).select("h", "n", "offset"))
-        hit = docs.select(*key, "s", F.posexplode("s").alias("at", "h")).join(part, "h")
+        hit = docs.select(*key, "s", F.posexplode_outer("s").alias("at", "h")).join(part, "h")
         start = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("s") - F.col("n")), F.lit(0))
         hit = hit.select(*key, start.alias("window"), "n", F.slice("s", start + 1, F.col("n")).alias("w"))
         hits = hit if hits is None else hits.unionByName(hit)
