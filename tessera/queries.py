@@ -279,7 +279,7 @@ def guards(spark, d):
     return decide.guarded(df, F.col("s.ratio")).select("s1_id", "tgt_id")
 
 
-_CAPPED = "select s1_id, tgt_id, score, row_number() over (partition by s1_id, substring(tgt_id, 1, 2) order by score desc, tgt_id)::int as rank from cand qualify rank <= 3"
+_CAPPED = "select s1_id, tgt_id, score, row_number() over (partition by s1_id, substring(tgt_id, 1, 2) order by score desc, tgt_id)::int as rank from cand qualify row_number() over (partition by s1_id, substring(tgt_id, 1, 2) order by score desc, tgt_id) <= 3"
 
 
 @query("cap_rank", f"with {V6} {_CAPPED}")
@@ -454,7 +454,7 @@ def validate_report(spark, d):
 def _training(spark, d) -> DataFrame:
     s1, tgt = parties(spark, d)
     found = sampling.labelled(blocking.candidates(s1, tgt, PROFILES["v6"], 5), truth_of(spark, d))
-    return features.features(features.pairs(found, s1, tgt), "p4", ("s1_id", "tgt_id", "label")).na.fill(0.0)
+    return features.features(features.pairs(found, s1, tgt), "p4", ("s1_id", "tgt_id", "label")).na.fill(0.0).persist()
 
 
 @query("gbt_score")

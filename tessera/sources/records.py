@@ -39,7 +39,7 @@ def targets(*sources: DataFrame) -> DataFrame:
 
 def id_list(ids: Column) -> Column:
     """array of distinct trimmed ids from a comma list; null and blanks give none."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(ids, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def read_match_lists(spark: SparkSession, path: str) -> DataFrame:
