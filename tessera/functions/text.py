@@ -47,10 +47,14 @@ def fold(x: Column) -> Column:
     return F.regexp_replace(F.translate(x, _FROM, _TO), r"[^\x00-\x7F]", "")
 
 
-@F.arrow_udf("string")
-def fold_all(x: pa.Array) -> pa.Array:
+def fold_all(x: Column) -> Column:
     """The same by full compatibility decomposition, for scripts beyond the tables."""
-    return pa.array([None if v is None else _ascii(v) for v in x.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def made(v: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else _ascii(t) for t in v.to_pylist()], pa.string())
+
+    return made(x)
 
 
 def tokens(x: Column) -> Column:
