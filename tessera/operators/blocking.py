@@ -88,7 +88,9 @@ def keys(records: DataFrame, profile: Profile, query: bool) -> DataFrame:
         return F.transform(channel_keys(channel, profile, query), lambda k: F.struct(F.lit(channel).alias("channel"), k.alias("key")))
 
     each = [named(c) for c in profile.channels]
-    return records.select("country", F.col("entity_id").alias("id"), F.explode(F.concat(*each)).alias("k")).select("country", "k.channel", "k.key", "id")
+    # outer, as Spark else filters records by their number of keys first, for which it makes all of them twice
+    exploded = records.select("country", F.col("entity_id").alias("id"), F.explode_outer(F.concat(*each)).alias("k"))
+    return exploded.select("country", "k.channel", "k.key", "id").filter("key is not null")
 
 
 def _by_channel(profile: Profile, value) -> Column:
