@@ -145,7 +145,7 @@ def _scan(docs: DataFrame, what: str, sent=None) -> DataFrame:
                             out.append([g[keep].view(np.int64), *row, at[keep] + start])
                             held += [part[i : j + MIN_BYTES].tobytes() for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
                     size += n
-                if size > 50_000:
+                if size > 20_000:
                     yield _batch(schema, out, held)
                     out, held, size = [], [], 0
             if out:
@@ -249,8 +249,12 @@ def _compared(contexts: DataFrame) -> DataFrame:
             rows = pa.Table.from_batches(held)
             g = rows["g"].to_numpy()
             cut = int(np.searchsorted(g, g[-1]))  # the last key may go on
-            if cut:
-                yield _repeated(rows.slice(0, cut))
+            ends = np.flatnonzero(np.diff(g[:cut], append=g[-1])) + 1 if cut else []
+            start = 0
+            for end in ends:  # some thousand rows at a time, but keys whole
+                if end - start >= ROWS or end == cut:
+                    yield _repeated(rows.slice(start, end - start))
+                    start = end
             held, count = rows.slice(cut).to_batches(), len(g) - cut
         if held and count:
             yield _repeated(pa.Table.from_batches(held))
