@@ -36,6 +36,8 @@ def removed_units(df: DataFrame, text: str = "text", doc_id: str = "doc_id", cut
     units = scratch.save(each.select("doc_id", "text_hash", "unit", F.xxhash64("u").alias("d1"), F.xxhash64(F.lit(1), "u").alias("d2")))
     place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash", "unit")
     first = units.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    # written, so that the join stands alone on its exchanges and Spark can split a digest that many units share
+    first = scratch.save(first)
     gone = units.join(first, ["d1", "d2"]).filter(place != F.col("first"))
     return gone.groupBy("doc_id", "text_hash").agg(F.collect_set("unit").alias("units"))
 
