@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import Bpe
+from tessera.llm.common import Scratch
 
 RUN = 1024
 
@@ -20,7 +21,8 @@ RUN = 1024
 def histogram(df: DataFrame, bpe: Bpe, text: str = "text") -> DataFrame:
     """n_tokens, n_docs: how many documents have each encoded length."""
     lengths = bpe.encode(df.select(F.col(text).alias("text"))).select(F.size("ids").cast("long").alias("n_tokens"))
-    return lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # written, as more than one sum reads it and texts should be encoded once
+    return Scratch(df.sparkSession, "lengths").save(lengths.groupBy("n_tokens").agg(F.count("*").alias("n_docs")))
 
 
 def by_limit(hist: DataFrame) -> DataFrame:
