@@ -180,3 +180,9 @@ def cascade(s1: DataFrame, targets: DataFrame) -> DataFrame:
     first = tier(exact, "c_name", (1.0, 0.95, 0.90, 0.85))
     second = tier(comp.filter("a_c_name <> b_c_name or a_c_name = ''"), "comp_name", (0.98, 0.92, 0.88, 0.82))
     return first.unionByName(second).filter("score is not null")
+
+
+def second_tier(s1: DataFrame, targets: DataFrame) -> DataFrame:
+    """s1_id, tgt_id, score, rank: candidates of the queries of which the first tier took no hit at all."""
+    taken = cascade(s1, targets).select("s1_id").distinct()
+    return candidates(s1, targets, PROFILES["v2"]).join(taken, "s1_id", "left_anti")

@@ -191,8 +191,7 @@ def cascade_v2(spark, d):
     select s1_id, tgt_id, score, rank from cand where s1_id not in (select s1_id from t1)""")
 def cascade_tier2(spark, d):
     s1, tgt = parties(spark, d)
-    hit = s1.join(tgt.select("country", "c_name").distinct(), ["country", "c_name"], "left_semi").filter("c_name <> ''").select(F.col("entity_id").alias("s1_id"))
-    return blocking.candidates(s1, tgt, PROFILES["v6"]).join(hit, "s1_id", "left_anti")
+    return blocking.second_tier(s1, tgt)
 
 
 # similarities and features
