@@ -452,20 +452,20 @@ def validate_report(spark, d):
 
 def _training(spark, d) -> DataFrame:
     s1, tgt = parties(spark, d)
-    found = sampling.labelled(blocking.candidates(s1, tgt, PROFILES["v6"], 5), truth_of(spark, d))
+    found = sampling.labelled(blocking.candidates(s1, tgt, PROFILES["v6"]), truth_of(spark, d))
     return features.features(features.pairs(found, s1, tgt), "p4", ("s1_id", "tgt_id", "label")).na.fill(0.0).persist()
 
 
 @query("gbt_score")
 def gbt_score(spark, d):
     df = _training(spark, d)
-    return model.predict(model.train(df, features.P4, rounds=5, depth=3), df).select("s1_id", "tgt_id", "label", "probability_1")
+    return model.predict(model.train(df, features.P4), df).select("s1_id", "tgt_id", "label", "probability_1")
 
 
 @query("blend_score")
 def blend_score(spark, d):
     df = _training(spark, d)
-    return model.blend(model.train(df, features.P4, rounds=3, depth=3), model.train(df, features.P4, "rf", rounds=5, depth=4), df).select("s1_id", "tgt_id", "label", "probability_1")
+    return model.blend(model.train(df, features.P4), model.train(df, features.P4, "rf"), df).select("s1_id", "tgt_id", "label", "probability_1")
 
 
 @query("resolve_rule", f"""with recursive {V6}, pr as (select s1_id, tgt_id, a.c_name as an, b.c_name as bn from cand join norm a on a.entity_id = s1_id join norm b on b.entity_id = tgt_id), jw as (select s1_id, tgt_id, round(jaro_winkler_similarity(an, bn), 9) as score from pr where jaro_winkler_similarity(an, bn) >= 0.9),
