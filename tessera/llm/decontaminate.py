@@ -8,7 +8,8 @@ blocks of eight bits are joined with one error allowed in each, which meets ever
 errors would be needed to spoil all blocks twice. The exact weighted Jaccard similarity of the shingles, `SIMILARITY`
 or more, verifies.
 
-Null or wordless texts and items match nothing. Null ids are kept as ids. Rows that agree in id and text are one
+Items of fewer than five words are found as they are, by windows of as many words. Null or wordless texts and items
+match nothing. Null ids are kept as ids. Rows that agree in id and text are one
 document. Items that repeat match each. An empty table, on either side, gives an empty table.
 """
 
@@ -59,9 +60,25 @@ def _blocks(fp: Column, near: bool) -> Column:
     return F.array(*[(byte[b].bitwiseXOR(F.lit(f)) + 256 * b).cast("int") for b in range(BLOCKS) for f in flips])
 
 
+def _short(df: DataFrame, items: DataFrame, text: str, doc_id: str, item_text: str, item_id: str) -> DataFrame:
+    """Places of items of fewer words than a shingle has: windows of as many words that are the same."""
+    of = items.select(F.col(item_id).alias("item_id"), words(F.col(item_text)).alias("_w")).filter(F.size("_w").between(1, SHINGLE - 1))
+    hashed = lambda at, n: F.xxhash64(*[F.when(F.lit(k) < n, F.get("_w", at + k)) for k in range(SHINGLE - 1)])
+    of = of.select("item_id", F.size("_w").alias("width"), hashed(F.lit(0), F.size("_w")).alias("h")).distinct()
+    widths = sorted(r.width for r in of.select("width").distinct().collect())
+    cut = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), words(F.col(text)).alias("_w"))
+    out = cut.join(of, F.lit(False)).select("doc_id", "text_hash", "item_id", F.lit(0).alias("window"), F.lit(1.0).alias("similarity"))
+    for n in widths:
+        places = F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: hashed(i, F.lit(n)))  # noqa: B023
+        each = cut.filter(F.size("_w") >= n).select("doc_id", "text_hash", F.posexplode(places).alias("window", "h"))
+        found = each.join(F.broadcast(of.filter(F.col("width") == n).select("item_id", "h")), "h")
+        out = out.unionByName(found.select("doc_id", "text_hash", "item_id", "window", F.lit(1.0).alias("similarity")))
+    return out
+
+
 def leaks(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", item_text: str = "text", item_id: str = "item_id", similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, item_id, window, similarity: for each document and item the most similar window, counted in
-    shingles from 0, of those that reach `similarity`."""
+    shingles from 0 (in words, for items of fewer words than a shingle), of those that reach `similarity`."""
     scratch = Scratch(df.sparkSession, "leaks")
     of = scratch.save(shingles(items, {"item_id": F.col(item_id), "item_hash": F.xxhash64(item_text)}, item_text)).filter(F.size("s") > 0).distinct()
     item = ["item_id", "item_hash"]
@@ -84,7 +101,8 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "do
     place = [*key, "window", "n"]
     windows = scratch.save(hits.groupBy(*place).agg(F.first("w").alias("w")))
     prints = fingerprints(windows, place, "w", "fp").select(*place, "fp", F.explode(_blocks(F.col("fp"), False)).alias("block"))
-    known = fingerprints(of, item, "s", "item_fp").join(of.select(*item, F.size("s").alias("n")), item)
+    # n goes through the aggregation: a join by plain equality would lose null ids
+    known = fingerprints(of.select(*item, F.size("s").alias("n"), "s"), [*item, "n"], "s", "item_fp")
     known = known.select(*item, "n", "item_fp", F.explode(_blocks(F.col("item_fp"), True)).alias("block"))
     near = prints.join(known, ["n", "block"]).filter(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select(*place, *item).distinct()
     # exact: shingles in common, each as often as both have it, against those of either
@@ -95,6 +113,7 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "do
     common = tried.alias("t").join(theirs.alias("i"), _all([F.col(f"t.{c}").eqNullSafe(F.col(f"i.{c}")) for c in [*item, "h"]]))
     common = common.groupBy(*[F.col(f"t.{c}").alias(c) for c in [*place, *item]], "size", "item_size").agg(F.sum(F.least("c", "item_c")).alias("m"))
     found = common.withColumn("similarity", F.col("m") / (F.col("size") + F.col("item_size") - F.col("m"))).filter(F.col("similarity") >= similarity)
+    found = found.select(*key, "item_id", "window", "similarity").unionByName(_short(df, items, text, doc_id, item_text, item_id))
     best = found.groupBy(*key, "item_id").agg(F.max(F.struct("similarity", (-F.col("window")).alias("w"))).alias("b"))
     return best.select(*key, "item_id", (-F.col("b.w")).alias("window"), F.col("b.similarity").alias("similarity"))
 
