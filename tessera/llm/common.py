@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,16 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a folder of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = getattr(shared_dir, "own", None) or tempfile.mkdtemp(prefix="tessera-")
-        shared_dir.own = where
+    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one in the warehouse, which is shared too."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return where.rstrip("/")
 
 
 class Scratch:
-    """Tables of one operator call in the shared folder. Executors may go: every table is whole on shared storage."""
+    """Tables of one operator call in the shared folder. Executors may go: every table is whole on shared storage.
+
+    An operator drops the tables that its result does not read. Those that it does read must outlive the call, as the
+    result is lazy; `sweep` deletes them later."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}", 0
@@ -36,12 +36,23 @@ class Scratch:
         out.scratch_path = path
         return out
 
-    def drop(self, df: DataFrame | None) -> None:
-        """Delete a table that nothing needs any more."""
-        path = getattr(df, "scratch_path", None)
-        if path:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that nothing needs any more."""
+        for df in tables:
+            path = getattr(df, "scratch_path", None)
+            if path:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession, hours: float = 24) -> int:
+    """Delete the folders of operator calls that began so long ago; how many. For the end of a job, with 0, or a timer."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    old = [x.getPath() for x in (files.listStatus(root) if files.exists(root) else []) if x.getPath().getName().startswith("tessera-") and x.getModificationTime() <= (time.time() - 3600 * hours) * 1000]
+    for path in old:
+        files.delete(path, True)
+    return len(old)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

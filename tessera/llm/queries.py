@@ -141,14 +141,26 @@ SQL: dict[str, str] = {
         from kept group by conv_id
     """,
     "op8_line_dedup": f"""
-        with cut as (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null),
-        each as (select doc_id, parts, unnest(range(len(parts))) as i from cut),
-        units as (select doc_id, i, parts[i + 1] as part, trim(regexp_replace(lower(parts[i + 1]), '[ \\t\\n\\r\\f]+', ' ', 'g')) as u,
-            sum(length(parts[i + 1]) + 1) over (partition by doc_id order by i) - length(parts[i + 1]) - 1 as start from each),
-        ranked as (select *, u <> '' and length(u) - length(replace(u, ' ', '')) >= {lines.MIN_WORDS - 1} and row_number() over (partition by u order by doc_id, i) > 1 as gone from units),
-        told as (select doc_id, count(*) filter (where gone) as n_removed, coalesce(string_agg(start || '+' || length(part), ' ' order by i) filter (where gone), '') as removed_spans,
-            coalesce(string_agg(part, chr(10) order by i) filter (where not gone), '') as kept from ranked group by doc_id)
-        select doc_id, n_removed, removed_spans, length(kept)::bigint as kept_chars, sha256(kept) as kept_sha256 from told
-        union all select doc_id, 0, '', null, null from documents where text is null
+        with cut as (select doc_id, string_split(regexp_replace(text, '({lines.CLAUSE})', '\\1' || chr(1), 'g'), chr(1)) as parts from documents where text is not null),
+        each as (select doc_id, unnest(range(len(parts))) as i, unnest(parts) as part from cut),
+        units as (
+            select doc_id, i, part, trim(regexp_replace(lower(part), '[ \\t\\n\\r\\f]+', ' ', 'g'), ' ') as u,
+                sum(length(part)) over (partition by doc_id order by i) - length(part) as start
+            from each where part <> ''
+        ),
+        ranked as (
+            select *, u = '' or doc_id <> min(doc_id) over (partition by u) or row_number() over (partition by u, doc_id order by i) > 1 as again,
+                case when u = '' then 0 else greatest(length(u) - length(replace(u, ' ', '')) + 1, (length(u) + {lines.WORD_CHARS - 1}) // {lines.WORD_CHARS}) end as size
+            from units
+        ),
+        runs as (select *, sum(case when again then 0 else 1 end) over (partition by doc_id order by i) as run from ranked),
+        sized as (select *, again and sum(size) filter (where again) over (partition by doc_id, run) >= {lines.MIN_WORDS} as gone from runs),
+        spans as (select doc_id, run, min(start) as start, sum(length(part)) as n from sized where gone group by doc_id, run),
+        told as (select doc_id, count(*) as n_removed, string_agg(start || '+' || n, ' ' order by start) as removed_spans from spans group by doc_id),
+        kept as (select doc_id, coalesce(string_agg(part, '' order by i) filter (where not gone), '') as kept from sized group by doc_id)
+        select doc_id, coalesce(n_removed, 0) as n_removed, coalesce(removed_spans, '') as removed_spans,
+            case when text is null then null else length(coalesce(kept, '')) end::bigint as kept_chars,
+            case when text is null then null else sha256(coalesce(kept, '')) end as kept_sha256
+        from documents left join told using (doc_id) left join kept using (doc_id)
     """,
 }
