@@ -8,7 +8,9 @@ x bits in one of L trees with probability 1 - (1 - (1 - t/pi)^x)^L; the ascent e
 angle of the worst result so far, or at the root, where all have been seen. So no number of candidates is set: close
 neighbours end it early, and data without any make it look at most rows.
 
-Rows and queries meet in blocks of bounded size. Equal vectors are one row with the smallest of their ids, as many as
+Rows and queries meet in blocks of bounded size, each with its own forest; so every query visits every block, in which
+it sees few rows if it has close neighbours there and most if none. Rows that tie with the last of the nearest are all
+kept until the ids decide. Equal vectors are one row with the smallest of their ids, as many as
 can be wanted. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows with null
 ids; only vectors of one length meet. Repeated rows (an id and a vector) count once. Ties go to smaller ids. An empty
 table, or one without queries, gives an empty table.
@@ -28,8 +30,10 @@ from tessera.llm.common import Scratch
 TREES = 24
 BITS = 32
 SURE = 0.97
-#: Rows of a block of the index, and of one of queries, at most (on average).
-ROWS, QUERIES = 16384, 1024
+#: Rows of a block of the index, and of one of queries, at most (on average); and queries that are searched together.
+ROWS, QUERIES, TOGETHER = 16384, 8192, 512
+#: What rounding may do to a product, as a share of the largest there can be.
+SLACK = 1e-12
 
 
 class Forest:
@@ -46,8 +50,13 @@ class Forest:
         weights = np.int64(1) << np.arange(BITS - 1, -1, -1)
         return np.stack([(filled @ p > 0) @ weights for p in self.planes])
 
-    def search(self, queries: np.ndarray, k: int) -> Iterator[np.ndarray]:
-        """For each query the rows of the k best found, in no order."""
+    def search(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int]]:
+        """For each query the rows of the k best found, all of those that tie with the last, in no order; and how many
+        rows were looked at."""
+        for i in range(0, len(queries), TOGETHER):
+            yield from self._search(queries[i : i + TOGETHER], k)
+
+    def _search(self, queries: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, int]]:
         codes = self._codes(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1))
         # where the run of each prefix begins and ends, by tree, length and query
         low, high = np.empty((TREES, BITS + 1, len(queries)), np.int64), np.empty((TREES, BITS + 1, len(queries)), np.int64)
@@ -60,26 +69,30 @@ class Forest:
         norms = np.sqrt((queries * queries).sum(1))
         for i, q in enumerate(queries):
             seen = np.zeros(len(self.x), bool)
-            rows, scores = np.empty(0, np.int64), np.empty(0)
+            rows, scores, worst = np.empty(0, np.int64), np.empty(0), -np.inf
             deepest = np.flatnonzero(total[:, i] >= k)
             x = int(deepest[-1]) if len(deepest) else 0
+            slack = SLACK * norms[i] * self.most * len(q)
             while True:
                 met = np.concatenate([o[a:b] for o, a, b in zip(self.order, low[:, x, i].tolist(), high[:, x, i].tolist(), strict=True)]) if x else np.flatnonzero(~seen)
                 fresh = np.unique(met[~seen[met]])
                 seen[fresh] = True
-                rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, self.x[fresh] @ q])
-                if len(rows) > 4 * k:
-                    best = np.argpartition(-scores, k - 1)[:k]
+                near = self.x[fresh] @ q
+                rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, near])
+                if len(rows) > k:
+                    worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                    best = scores >= worst - slack
                     rows, scores = rows[best], scores[best]
+                elif len(rows) == k:
+                    worst = scores.min()
                 if x == 0:
                     break
                 if len(rows) >= k:
-                    worst = np.partition(scores, len(scores) - k)[len(scores) - k]
                     share = 1 - np.arccos(np.clip(worst / (norms[i] * self.most), -1, 1)) / np.pi
                     if 1 - (1 - share**x) ** TREES >= SURE:
                         break
                 x -= 1
-            yield rows
+            yield rows, int(seen.sum())
 
 
 def _usable(v: Column) -> Column:
@@ -113,8 +126,9 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 20, vec_id: str = "vec_i
             matrix = lambda c: np.array(c.combine_chunks().flatten() if isinstance(c, pa.ChunkedArray) else c.flatten()).reshape(len(c), -1)
             x, q = matrix(left["v"]), matrix(right["v"])
             own, ids = right["id"].to_pylist(), left["ids"].to_pylist()
-            for a, v, found in zip(own, q, Forest(x).search(q, min(k + 1, len(x))), strict=True):
-                scores = (x[found] * v).sum(1)
+            for a, v, (found, _) in zip(own, q, Forest(x).search(q, min(k + 1, len(x))), strict=True):
+                # the products that are returned are all made one way, and no zero has a sign
+                scores = (x[found] * v).sum(1) + 0.0
                 pairs = sorted((-s, b) for s, r in zip(scores.tolist(), found.tolist(), strict=True) for b in ids[r] if b != a)[:k]
                 out += [(a, b, -s) for s, b in pairs]
         a, b, s = zip(*out, strict=True) if out else ((), (), ())

@@ -164,6 +164,29 @@ def test_neighbours(spark):
     assert neighbours.nearest(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_neighbours_that_tie(spark):
+    # 200 vectors of one product with the query; ids against the order of the rows
+    rng = np.random.default_rng(9)
+    rows = [(1000, [1.0] + [0.0] * 7)] + [(1 + (k * 77) % 200, [0.5, *rng.integers(-40, 40, 7).astype(float).tolist()]) for k in range(200)] + [(500 + k, [0.25, *rng.integers(-9, 9, 7).astype(float).tolist()]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(df, df.filter("vec_id = 1000"), 20).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in got] == [(k, k, 0.5) for k in range(1, 21)]
+
+
+def test_close_neighbours_end_the_ascent():
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((200, 64))
+    x = np.repeat(centres, 40, axis=0) + 0.1 * rng.standard_normal((8000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    queries = x[::160]
+    seen, found = [], []
+    for q, (rows, n) in zip(queries, neighbours.Forest(x).search(queries, 20), strict=True):
+        best = np.argsort(-(x @ q), kind="stable")[:20]
+        seen.append(n / len(x))
+        found.append(len(set(best.tolist()) & set(rows.tolist())) / 20)
+    assert np.mean(seen) < 0.15 and np.mean(found) >= 0.9
+
+
 def test_pages(spark):
     html = '<html><head><title>T</title><style>p{}</style><script>"</p>"</script></head><body><div class="cookie-notice">We use cookies</div><header><a href="/">Site</a></header><nav><ul><li><a>Home</a></li></ul></nav><article><h1>Caf&eacute; &amp;  title</h1><p>One <b>bold</b>\n text<p>Two<br>three<form><input>Your name</form><div class="ad">Buy</div></article><section class="comments"><p>Nice text, I liked to read all of it very much indeed</p></section><aside>More</aside><footer>&copy; us</footer></body></html>'
     df = spark.createDataFrame([(1, "u", html, "a"), (2, "u", None, "b"), (3, None, "", "c"), (4, "u", "<article><p>cut off <a hre", "d"), (5, "u", "<p class='x>never closed", "e"), (1, "u", html, "a")], "page_id long, url string, html string, main_text string")
