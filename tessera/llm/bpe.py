@@ -31,8 +31,11 @@ NONE = np.int32(2**31 - 1)
 LONG = 256
 #: Cells of one matrix at most.
 CELLS = 1 << 21
-#: Pieces that a worker keeps; it starts anew beyond them, so that memory stays bounded.
-KEPT = 300_000
+#: Pieces that a worker keeps, and their characters; it starts anew beyond them, so that memory stays bounded.
+KEPT, KEPT_CHARS = 300_000, 16_000_000
+#: Fixed value: the pattern for which texts may be cut at lone spaces, and words need no pattern. With any other, a text is
+#: cut by its pattern alone.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class PairTable:
@@ -79,7 +82,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         # Rust's \s is White_Space; Python's also takes the separators 1C to 1F
         self.cut = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
-        self.ranks = ranks
+        self.ranks, self.by_words = ranks, pattern == WORDS
         self.byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(ranks[w[:i]], ranks[w[i:]], r) for w, r in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
         self.pairs = PairTable(*np.array(pairs, np.int64).reshape(-1, 3).T)
@@ -97,7 +100,7 @@ class Encoder:
         self.ids = np.empty(1 << 16, np.int32)
         self.at = np.empty(1 << 14, np.int64)
         self.size = np.empty(1 << 14, np.int64)
-        self.used = 0
+        self.used = self.chars = 0
 
     def _keep(self, keys: list[str], ids: np.ndarray, size: np.ndarray) -> None:
         k, n = len(self.index), len(keys)
@@ -108,15 +111,18 @@ class Encoder:
         self.ids[self.used : self.used + len(ids)] = ids
         self.at[k : k + n], self.size[k : k + n] = self.used + np.cumsum(size) - size, size
         self.used += len(ids)
+        self.chars += sum(map(len, keys))
         self.index.update(zip(keys, range(k, k + n), strict=True))
 
     def _pieces(self, key: str) -> list[str]:
         """Keys of the pieces of a new chunk; a lone word, and a word with one mark after it, need no pattern."""
+        if not self.by_words:
+            return [key]  # chunks are pieces then
         if key.isalpha():
             return [key]
         if key[-1] in ".,;:!?|" and key[:-1].isalpha():
             return [key[:-1], f" {key[-1]}"]
-        return [p[1:] if p[0] == " " and p[1:2].strip() else f" {p}" for p in self.cut(key[1:] if key[0] == " " else f" {key}")]
+        return [_key(p) for p in self.cut(key[1:] if key[0] == " " else f" {key}")]
 
     def _learn(self, keys: list[str]) -> None:
         """keys: of chunks; after a space a chunk's text itself, else its text without the space before it."""
@@ -225,13 +231,13 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids after one another, and the offsets of the texts in them."""
-        if len(self.index) > KEPT:
+        if len(self.index) > KEPT or self.chars > KEPT_CHARS:
             self._forget()
         keys: list[str] = []
         count = np.zeros(len(texts), np.int64)
         for i, t in enumerate(texts):
             if t:
-                part = _chunks(t)
+                part = _chunks(t) if self.by_words else [_key(p) for p in self.cut(t)]
                 keys += part
                 count[i] = len(part)
         chunk = np.fromiter(map(self.index.get, keys, repeat(-1)), np.int64, len(keys))
@@ -256,6 +262,11 @@ _ODD = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029
 _CUT = re.compile(r"(?<=\S)(?= \S)").split
 
 
+def _key(piece: str) -> str:
+    """A piece by which it is known: with a space and more, what follows the space; else after one."""
+    return piece[1:] if piece[0] == " " and piece[1:2].strip() else f" {piece}"
+
+
 def _chunks(text: str) -> list[str]:
     """Keys of the text's chunks. It is cut before each lone space between two other characters, where every pattern
     whose pieces have a space first or among white space only cuts it too; so chunks repeat far more than texts do."""
@@ -263,7 +274,7 @@ def _chunks(text: str) -> list[str]:
     if not body:
         return [f" {text}"]
     if "  " in body or " \n" in body or "\n " in body or body[0] == "\n" or body[-1] == "\n" or _ODD(body):
-        return [c[1:] if c[0] == " " and c[1:2].strip() else f" {c}" for c in _CUT(text)]
+        return [_key(c) for c in _CUT(text)]
     keys = body.split(" ")
     before, after = text.index(body[0]), len(text) - len(text.rstrip(" "))
     keys[0] = f" {' ' * before}{keys[0]}"

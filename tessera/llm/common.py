@@ -5,7 +5,14 @@ from __future__ import annotations
 import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Bits of a bitmap: 8 MB, whatever there is in it.
+BITMAP = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,3 +71,28 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def fixed_bitmap(keys: DataFrame):
+    """Broadcast: the low bits of the longs `k`, 2^20 words of 64 bits whatever there are. Rows that pass it may be more
+    than those in it, never fewer; whoever uses it decides the rest exactly."""
+    bit = F.col("k").bitwiseAND((1 << BITMAP) - 1)
+    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((k & {(1 << BITMAP) - 1}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    out = np.zeros(1 << BITMAP - 6, np.uint64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
+    return keys.sparkSession.sparkContext.broadcast(out)
+
+
+def passing(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    bit = keys & np.uint64((1 << BITMAP) - 1)
+    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def in_bitmap(key: Column, sent) -> Column:
+    """Whether the long passes."""
+
+    @F.arrow_udf(T.BooleanType())
+    def made(keys: pa.Array) -> pa.Array:
+        return pa.array(passing(sent.value, keys.to_numpy(zero_copy_only=False).view(np.uint64)))
+
+    return made(key)

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, fresh
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -84,14 +84,16 @@ def leaks(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "do
     item = ["item_id", "item_hash"]
     placed = of.select(*item, F.size("s").alias("n"), F.posexplode("s").alias("offset", "h"))
     # where an item repeats a shingle, the first place lines up as well as any other: the window is verified anyway
-    placed = scratch.save(placed.groupBy(*item, "n", "h").agg(F.min("offset").alias("offset")))
+    placed = placed.groupBy(*item, "n", "h").agg(F.min("offset").alias("offset"))
+    # items that begin alike give one row for each length; chunks split the rows of a shingle too
+    placed = scratch.save(placed.select("h", "n", "offset").distinct())
     chunks = -(-placed.count() // CHUNK)
     docs = shingles(df, {"doc_id": F.col(doc_id), "text_hash": F.xxhash64(text)}, text)
     key = ["doc_id", "text_hash"]
     # outer, as Spark else filters texts by their number of shingles first, for which it makes words anew for each
     hits = None
     for k in range(chunks):
-        part = F.broadcast(placed.filter(F.pmod(F.xxhash64("h"), F.lit(chunks)) == k).select("h", "n", "offset"))
+        part = F.broadcast(placed.filter(F.pmod(F.xxhash64("h", "n", "offset"), F.lit(chunks)) == k))
         hit = docs.select(*key, "s", F.posexplode_outer("s").alias("at", "h")).join(part, "h")
         start = F.greatest(F.least(F.col("at") - F.col("offset"), F.size("s") - F.col("n")), F.lit(0))
         hit = hit.select(*key, start.alias("window"), "n", F.slice("s", start + 1, F.col("n")).alias("w"))
@@ -127,5 +129,6 @@ def _all(conditions: list[Column]) -> Column:
 
 def clean(df: DataFrame, items: DataFrame, text: str = "text", doc_id: str = "doc_id", similarity: float = SIMILARITY) -> DataFrame:
     """df without the documents that hold an item."""
-    found = leaks(df, items, text, doc_id, similarity=similarity).select(F.col("doc_id").alias("_leak_id"), F.col("text_hash").alias("_leak_hash")).distinct()
-    return df.join(found, F.col(doc_id).eqNullSafe(F.col("_leak_id")) & (F.xxhash64(text) == F.col("_leak_hash")), "left_anti")
+    leak_id, leak_hash = fresh(df, "leak_id", "leak_hash")
+    found = leaks(df, items, text, doc_id, similarity=similarity).select(F.col("doc_id").alias(leak_id), F.col("text_hash").alias(leak_hash)).distinct()
+    return df.join(found, F.col(doc_id).eqNullSafe(F.col(leak_id)) & (F.xxhash64(text) == F.col(leak_hash)), "left_anti")

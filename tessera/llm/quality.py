@@ -2,11 +2,12 @@
 
 A text's words give four kinds of features: words and word pairs in lower case, and the same of word shapes (runs of
 capitals, small letters and digits, marks as they are, and whether a word repeats the one before). Each kind is a
-distribution whose roots have length one, so a score does not depend on length as such. Labels come from a bounded,
-documented sample; scoring is a sparse dot product with 2^18 broadcast weights.
+distribution whose roots have length one, so a score does not depend on length as such. Labels come from at most
+`SAMPLE` labelled documents; scoring is a sparse dot product with 2^18 broadcast weights.
 
 Null texts count as empty and score the bias. Null labels are not learnt from. Without labels of both classes the score
-is the share of label 1 seen, 0.5 without any. Repeated rows and labels count each. An empty table gives an empty table.
+is the share of label 1 seen, 0.5 without any. Rows that agree in id and text are learnt once, with each of their
+labels once; labels of ids that no document has are not learnt. Every row is scored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,35 +24,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BITS = 18
-#: Labelled rows that are learnt from at most: the first by a hash of their ids.
+#: Labelled documents that are learnt from at most: the first by a hash of their ids.
 SAMPLE = 4000
 EPOCHS = 4
 #: Rates of the updates: learning rate, its offset, L1 and L2.
 ALPHA, BETA, L1, L2 = 0.4, 1.0, 1e-4, 1e-4
-#: Words whose hashes a worker keeps.
-KEPT = 300_000
+#: Words whose hashes a worker keeps, and their characters, at most.
+KEPT, KEPT_CHARS = 300_000, 8_000_000
 _RUNS = ((re.compile(r"[^\W\d_a-z]*[A-ZÀ-ÖØ-Þ][A-ZÀ-ÖØ-Þ]+"), "A"), (re.compile(r"\d+"), "9"), (re.compile(r"[^\W\dA9_]+"), "a"), (re.compile(r"([^\w\s])\1+"), r"\1\1"))
 
 
 def _shape(word: str) -> str:
     for run, sign in _RUNS:
         word = run.sub(sign, word)
-    return word[:12]
+    return word
 
 
 class Words:
     """Hashes of words and of their shapes, kept for words met before."""
 
     def __init__(self):
-        self.index, self.table = {}, np.zeros((1 << 14, 2), np.uint64)
+        self.index, self.table, self.chars = {}, np.zeros((1 << 14, 2), np.uint64), 0
 
     def look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.index) > KEPT:
+        if len(self.index) > KEPT or self.chars > KEPT_CHARS:
             self.__init__()
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         for i in np.flatnonzero(at < 0).tolist():
             w = words[i]
             k = self.index.setdefault(w, len(self.index))
+            self.chars += len(w)
             if k == len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
             self.table[k] = zlib.crc32(w.lower().encode()), zlib.crc32(_shape(w).encode(), 7)
@@ -113,9 +115,11 @@ def score(text: str | None, weights: np.ndarray, known: Words) -> float:
 
 
 def model(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from at most `sample` rows of labels (doc_id, label), the first by a hash of their ids."""
-    rows = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y in (0, 1)")
-    rows = rows.orderBy(F.xxhash64("i"), "i", "y").limit(sample)
+    """Weights learnt from at most `sample` labelled documents, the first by a hash of their ids. labels: doc_id, label."""
+    rows = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).filter("i is not null and y in (0, 1)").distinct()
+    texts = df.select(F.col(doc_id).alias("i"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    # what is learnt is chosen among ids and hashes that documents have, so that repeated rows add nothing to it
+    rows = texts.select("i", "h").join(rows, "i").distinct().orderBy(F.xxhash64("i"), "i", "h", "y").limit(sample)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words()
@@ -124,8 +128,8 @@ def model(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
                 at, x = features(t.as_py(), known)
                 yield pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()]), pa.array([x.tobytes()]), pa.array([y.as_py()], pa.int32())], names=["at", "x", "y"])
 
-    # `sample` rows of ids and labels, a bound that the data do not change
-    chosen = df.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(rows), "i").select("t", "y")
+    # `sample` rows of ids, hashes and labels, a bound that the data do not change
+    chosen = texts.join(F.broadcast(rows), ["i", "h"]).groupBy("i", "h", "y").agg(F.first("t").alias("t")).select("t", "y")
     got = chosen.mapInArrow(featured, "at binary, x binary, y int").collect()
     got.sort(key=lambda r: (zlib.crc32(bytes(r.at)), bytes(r.at), r.y))  # the order of learning, however rows arrive
     return train([(np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.x, np.float32), r.y) for r in got])

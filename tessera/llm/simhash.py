@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, fresh
 
 #: Bits of the segments, and where each begins.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -81,23 +81,34 @@ def keys(fp: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(owner)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """A bit is set if it is in over half of the shingles' hashes."""
+#: Shingles that are counted at once: bounded memory for very long texts.
+STEP = 1 << 15
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """Of all shingles in order; of fewer words than `width`, one of all of them; none without words."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and the six ASCII white space characters
     if not words:
-        return 0
+        return np.empty(0, "<u8")
     joined, hashed = b" ".join(words), xxhash.xxh64_intdigest
-    n = max(1, len(words) - width + 1)
-    if n == 1:
-        return hashed(joined, 42)
+    n = len(words) - width + 1
+    if n <= 1:
+        return np.array([hashed(joined, 42)], "<u8")
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])[:n]
+    return np.fromiter((hashed(joined[a:b], 42) for a, b in zip(starts.tolist(), ends[width - 1 :].tolist(), strict=True)), "<u8", n)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """A bit is set if it is in over half of the hashes."""
     total = np.zeros(64, np.int64)
-    for k in range(0, n, 1 << 15):  # bounded memory for very long texts
-        part = zip(starts[k : k + (1 << 15)].tolist(), ends[width - 1 :][k : k + (1 << 15)].tolist(), strict=True)
-        h = np.array([hashed(joined[a:b], 42) for a, b in part], "<u8")
-        total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return sum(1 << i for i in np.flatnonzero(total * 2 > n).tolist())
+    for k in range(0, len(hashes), STEP):
+        total += np.unpackbits(hashes[k : k + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return sum(1 << i for i in np.flatnonzero(total * 2 > len(hashes)).tolist())
+
+
+def fingerprint(text: str | None, width: int = 3) -> int:
+    return majority(shingle_hashes(text, width))
 
 
 def with_fingerprint(text: Column, width: int = 3) -> Column:
@@ -176,12 +187,13 @@ def fingerprint_components(docs: DataFrame, scratch: Scratch, radius: int = RADI
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = 3) -> DataFrame:
     """df with one row of each component, that of the smallest id. Rows that agree in all columns stay or go together."""
     scratch = Scratch(df.sparkSession, "simhash")
-    row = F.xxhash64(*df.columns)
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])
     docs = scratch.save(df.select(F.col(doc_id).alias("doc_id"), row.alias("h"), with_fingerprint(F.col(text), width).alias("fp")))
     groups = scratch.save(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(groups.select("fp"), radius), scratch)
     marked = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
     # the winner of a component is an aggregate over (id, row's hash), which combines before it is shuffled
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
-    won = docs.join(marked, "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias("_won_id"), F.col("o.h").alias("_won_row"))
-    return df.join(won, F.col(doc_id).eqNullSafe(F.col("_won_id")) & (row == F.col("_won_row")), "left_semi")
+    won_id, won_row = fresh(df, "won_id", "won_row")
+    won = docs.join(marked, "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias(won_id), F.col("o.h").alias(won_row))
+    return df.join(won, F.col(doc_id).eqNullSafe(F.col(won_id)) & (row == F.col(won_row)), "left_semi")

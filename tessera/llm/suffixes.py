@@ -8,9 +8,11 @@ merged against each level to find keys met before, then levels of equal size mer
 
 Anchors whose keys repeat are looked at closer. An anchor stands for the strings around it of which it is the place;
 their union is its context. If a context repeats as a whole, all of its strings do. The others are compared string by
-string with one representative of each context of the same key, sorted runs at a time. Hashes have 64 bits and are met
-under equal keys of 64 bits; no text leaves its document but the contexts of representatives. What passes on to the
-closer look is cut by bitmaps of a fixed size, which may let more pass than needed but never less.
+string with one representative of each context of the same key, sorted runs at a time. Keys of more than `ROWS` anchors
+are not brought together in one task: their contexts' strings are counted by hash, pre-aggregated, wherever they are.
+Hashes have 64 bits and are met under equal keys of 64 bits; no text leaves its document but the contexts of
+representatives. What passes on to the closer look, and which keys count as large, is cut by bitmaps of a fixed size,
+which may let more pass than needed but never less: either way gives the same result.
 
 Null texts count as empty. Texts shorter than `MIN_BYTES` keep all. Rows that agree in id and text are documents of
 their own, each repeating the other. Null ids are ids. An empty table gives an empty table.
@@ -25,16 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, fixed_bitmap, fresh, passing
 
 MIN_BYTES = 200
 GRAM = 64
 BATCHES = 4
 #: Windows of a long text looked at together.
 PART = 1 << 20
-#: Bits of a bitmap: 8 MB.
-BITMAP = 26
-#: Contexts compared together, and from how many on a key's are dealt out by their strings.
+#: Contexts compared together, and anchors of a key from which on its strings are dealt out by their hashes.
 ROWS = 4000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -113,16 +113,13 @@ def _identity(r1: int, first: np.ndarray) -> np.ndarray:
 
 
 def _passing(bitmap: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
-    if bitmap is None:
-        return np.ones(len(keys), bool)
-    bit = keys & np.uint64((1 << BITMAP) - 1)
-    return (bitmap[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return np.ones(len(keys), bool) if bitmap is None else passing(bitmap, keys)
 
 
-def _scan(docs: DataFrame, what: str, sent=None) -> DataFrame:
+def _scan(docs: DataFrame, what: str, sent=None, large=None) -> DataFrame:
     """keys: batch, g of all anchors. records: those whose key passes the bitmap, without text. contexts: those whose
-    identity passes, with the bytes."""
-    schema = {"keys": "b int, g long", "records": "r1 long, r2 long, first int, last int, g long, h long, id long", "contexts": "g long, r1 long, r2 long, first int, last int, at int, context binary"}[what]
+    identity passes, with the bytes, and whether the key passes the other bitmap, of large ones."""
+    schema = {"keys": "b int, g long", "records": "r1 long, r2 long, first int, last int, g long, h long, id long", "contexts": "g long, r1 long, r2 long, first int, last int, at int, large int, context binary"}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = None if sent is None else sent.value
@@ -142,7 +139,7 @@ def _scan(docs: DataFrame, what: str, sent=None) -> DataFrame:
                         if what == "records":
                             out.append([*row, g[keep].view(np.int64), h[keep].view(np.int64), who[keep].view(np.int64)])
                         else:
-                            out.append([g[keep].view(np.int64), *row, at[keep] + start])
+                            out.append([g[keep].view(np.int64), *row, at[keep] + start, _passing(large.value, g[keep]).astype(np.int32)])
                             held += [part[i : j + MIN_BYTES].tobytes() for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
                     size += n
                 if size > 20_000:
@@ -184,15 +181,6 @@ class Family:
         return found
 
 
-def _bitmap(keys: DataFrame):
-    """Broadcast: the bits of the longs `k`, 2^20 words of 64 bits whatever there are."""
-    bit = F.col("k").bitwiseAND((1 << BITMAP) - 1)
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((k & {(1 << BITMAP) - 1}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
-    out = np.zeros(1 << BITMAP - 6, np.uint64)
-    out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
-    return keys.sparkSession.sparkContext.broadcast(out)
-
-
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Begins and ends (inclusive) of the runs of True."""
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
@@ -218,8 +206,8 @@ def _strings(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _repeated(rows: pa.Table) -> pa.RecordBatch:
     """r1, r2, first, last: the strings of whole groups of contexts that repeat among them."""
     row, number, hashed = _strings(rows)
-    order = np.argsort(hashed, kind="stable")
-    same = hashed[order][1:] == hashed[order][:-1]
+    order, g = np.argsort(hashed, kind="stable"), rows["g"].to_numpy()[row]
+    same = (hashed[order][1:] == hashed[order][:-1]) & (g[order][1:] == g[order][:-1])
     twice = np.zeros(len(order), bool)
     twice[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
     # runs within rows: a gap between rows keeps them apart
@@ -262,6 +250,23 @@ def _compared(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "r1 long, r2 long, first int, last int")
 
 
+def _counted(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """The same for large keys: strings are rows, and which of them repeat is counted before it is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 500):
+                rows = pa.Table.from_batches([b.slice(i, 500)])
+                row, number, hashed = _strings(rows)
+                take = lambda c: rows[c].to_numpy()[row]  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(take("g")), pa.array(hashed.view(np.int64)), pa.array(take("r1")), pa.array(take("r2")), pa.array((take("first") + number).astype(np.int32))], names=["g", "s", "r1", "r2", "first"])
+
+    strings = scratch.save(contexts.mapInArrow(run, "g long, s long, r1 long, r2 long, first int"))
+    # written, so that the join stands alone on its exchanges and Spark can split a string that many have
+    twice = scratch.save(strings.groupBy("g", "s").agg(F.count("*").alias("c")).filter("c > 1").select("g", "s"))
+    return strings.join(twice, ["g", "s"], "left_semi").select("r1", "r2", "first", F.col("first").alias("last"))
+
+
 def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """r1, r2, spans: for each document with any, (first, last) of the starts of repeated strings. r1 and r2 are the
     document's hashes, as `references` makes them."""
@@ -274,14 +279,16 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         found = family.add(run)
         met = found if met is None else met.unionByName(found)
     scratch.drop(runs)
-    records = scratch.save(_scan(docs, "records", _bitmap(met.select(F.col("g").alias("k")))))
+    records = scratch.save(_scan(docs, "records", fixed_bitmap(met.select(F.col("g").alias("k")))))
     for level in family.levels.values():
         scratch.drop(level)
     classes = scratch.save(records.groupBy("g", "h").agg(F.count("*").alias("n"), F.min("id").alias("id")))
     whole = records.join(classes.filter("n > 1").select("g", "h"), ["g", "h"], "left_semi").select("r1", "r2", "first", "last")
-    apart = classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select("g")
+    apart = scratch.save(classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.sum("n").alias("anchors")).filter("c > 1 and least = 1").select("g", "anchors"))
     told = classes.join(apart, "g", "left_semi").select(F.col("id").alias("k"))
-    spans = whole.unionByName(_compared(_scan(docs, "contexts", _bitmap(told))))
+    large = apart.filter(F.col("anchors") > ROWS).select(F.col("g").alias("k"))
+    contexts = scratch.save(_scan(docs, "contexts", fixed_bitmap(told), fixed_bitmap(large)))
+    spans = whole.unionByName(_compared(contexts.filter("large = 0").drop("large"))).unionByName(_counted(contexts.filter("large = 1").drop("large"), scratch))
     return spans.groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
@@ -290,11 +297,12 @@ def references(text: str, doc_id: str) -> list[Column]:
 
 
 def remove(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """df with kept (binary: the bytes that stay) and removed_spans: array of (start, length) in bytes."""
-    added = ("kept", "removed_spans", "r1", "r2", "_spans")
-    df = df.drop(*[c for c in added if c not in (text, doc_id)])
-    spans = repeated_spans(df, text, doc_id).withColumnRenamed("spans", "_spans")
-    both = df.withColumns({c: e for c, e in zip(("r1", "r2"), references(text, doc_id), strict=True)}).join(spans, ["r1", "r2"], "left")
+    """df with kept (binary: the bytes that stay) and removed_spans: array of (start, length) in bytes, in place of any
+    columns of these names."""
+    df = df.drop(*[c for c in ("kept", "removed_spans") if c not in (text, doc_id)])
+    r1, r2, found, done = fresh(df, "r1", "r2", "found", "done")
+    spans = repeated_spans(df, text, doc_id).toDF(r1, r2, found)
+    both = df.withColumns({c: e for c, e in zip((r1, r2), references(text, doc_id), strict=True)}).join(spans, [r1, r2], "left")
 
     @F.arrow_udf("kept binary, removed_spans array<struct<start:int,length:int>>")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
@@ -315,5 +323,5 @@ def remove(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             removed.append(gone)
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))], names=["kept", "removed_spans"])
 
-    out = both.withColumn("_cut", cut(F.col(text).cast("binary"), F.col("_spans")))
-    return out.select(*df.columns, "_cut.kept", "_cut.removed_spans")
+    out = both.withColumn(done, cut(F.col(text).cast("binary"), F.col(found)))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], f"{done}.kept", f"{done}.removed_spans")
