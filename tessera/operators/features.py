@@ -84,7 +84,7 @@ def features(df: DataFrame, kind: str = "p3", keep: tuple[str, ...] = ("s1_id",
             "name_jaro_winkler": name("jaro_winkler", 1.0), "addr_jaro_winkler": addr("jaro_winkler", 1.0),
             "brand_root_ratio": root, "brand_root_exact": F.when(rooted, _flag(ra == rb)).otherwise(values["name_exact_match"]), "brand_root_token_set": F.when(rooted, F.col("_r.token_set") / 100).otherwise(values["name_token_set"]),
             "compact_ratio": own(F.col("_c.ratio") / 100, (ca != "") & (cb != "")), "compact_exact": _flag((ca == cb) & (ca != "")),
-            "pin_exact_match": own(_flag(both("postals") & pins), placed), "pin_mismatch_penalty": own(-pin, placed),
+            "pin_exact_match": own(_flag(both("postals") & pins), placed), "pin_mismatch_penalty": own(0.0 - pin, placed),
             "brand_addr_avg": average(root),
         }
     elif kind != "p1":

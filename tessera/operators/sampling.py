@@ -9,8 +9,9 @@ from tessera.functions import text
 
 
 def group_split(df: DataFrame, key: Column, held_percent: int = 25, seed: int = 42) -> DataFrame:
-    """df with is_validation: all rows of a key on one side."""
-    return df.withColumn("is_validation", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100)) < held_percent)
+    """df with is_validation: all rows of a key on one side, by a digest that other engines have too. Null keys are one."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit(f":{seed}")).cast("binary"))
+    return df.withColumn("is_validation", F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 100 < held_percent)
 
 
 def sliced(df: DataFrame, order: list[Column], n_validation: int, n_train: int) -> tuple[DataFrame, DataFrame]:

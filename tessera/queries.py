@@ -118,11 +118,11 @@ _gram_query("char_ngrams_raw", "c_name", False)
 _gram_query("char_ngrams_raw_whole", "c_name", True)
 
 
-@query("doc_frequency", f"{NORM_DOCS}, t as (select country, unnest(list_distinct([t for t in name_tokens if length(t) >= 3])) as token from norm where src <> 'S1') select country, token, count(*) as df, round(1.5 / (1 + ln(1 + count(*)::double)), 6) as weight from t group by all having count(*) <= 50")
+@query("doc_frequency", f"{NORM_DOCS}, t as (select country, unnest(list_distinct([t for t in name_tokens if length(t) >= 3])) as token from norm where src <> 'S1') select country, token, count(*) as df, round(1.5 / (1 + ln(1 + count(*)::double)), 6) as weight from t group by all")
 def doc_frequency(spark, d):
     df = records.preprocess(load(spark, d, testbeds.DOCS)).filter("src <> 'S1'")
     words = df.select("country", F.explode(F.array_distinct(F.filter(text.tokens(F.col("c_name")), lambda t: F.length(t) >= 3))).alias("token"))
-    out = words.groupBy("country", "token").agg(F.count("*").alias("df")).filter("df <= 50")
+    out = words.groupBy("country", "token").agg(F.count("*").alias("df"))
     return out.withColumn("weight", F.round(1.5 / (1 + F.log(1 + F.col("df").cast("double"))), 6))
 
 
@@ -196,18 +196,18 @@ def cascade_tier2(spark, d):
 
 # similarities and features
 
-PAIRS = f"{oracle.candidates(PARTIES, Profile('p', {'prefix2': PROFILES['v6'].channels['prefix2']}, 3))}, pr as (select s1_id, tgt_id, a.c_name as an, b.c_name as bn, a.c_addr as aa, b.c_addr as ba, a.numbers as anum, b.numbers as bnum, a.postals as ap, b.postals as bp, a.comp_name as ac, b.comp_name as bc, a.brand_root as ar, b.brand_root as br from cand join norm a on a.entity_id = s1_id join norm b on b.entity_id = tgt_id)"
+PAIRS = f"{V6}, pr as (select s1_id, tgt_id, a.c_name as an, b.c_name as bn, a.c_addr as aa, b.c_addr as ba, a.numbers as anum, b.numbers as bnum, a.postals as ap, b.postals as bp, a.comp_name as ac, b.comp_name as bc, a.brand_root as ar, b.brand_root as br from cand join norm a on a.entity_id = s1_id join norm b on b.entity_id = tgt_id)"
 
 
-def some_pairs(spark, d) -> DataFrame:
+def all_pairs(spark, d) -> DataFrame:
+    """All candidates of the profile."""
     s1, tgt = parties(spark, d)
-    found = blocking.candidates(s1, tgt, Profile("p", {"prefix2": PROFILES["v6"].channels["prefix2"]}, 3))
-    return features.pairs(found, s1, tgt)
+    return features.pairs(blocking.candidates(s1, tgt, PROFILES["v6"]).select("s1_id", "tgt_id"), s1, tgt)
 
 
 @query("sim_ratio", f"with recursive {PAIRS}, {oracle.ratios('select distinct an as a, bn as b from pr')} select s1_id, tgt_id, round(r, 6)::double as ratio from pr join ratio on an = a and bn = b")
 def sim_ratio(spark, d):
-    df = some_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["ratio"]))
+    df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["ratio"]))
     return df.select("s1_id", "tgt_id", F.round("s.ratio", 6).alias("ratio"))
 
 
@@ -216,19 +216,19 @@ _SORT = "array_to_string(list_sort([t for t in string_split_regex({}, '\\s+') if
 
 @query("sim_token_sort", f"with recursive {PAIRS}, so as (select s1_id, tgt_id, {_SORT.format('an')} as sa, {_SORT.format('bn')} as sb from pr), {oracle.ratios('select distinct sa as a, sb as b from so')} select s1_id, tgt_id, round(r, 6)::double as token_sort from so join ratio on sa = a and sb = b")
 def sim_token_sort(spark, d):
-    df = some_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["token_sort"]))
+    df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["token_sort"]))
     return df.select("s1_id", "tgt_id", F.round("s.token_sort", 6).alias("token_sort"))
 
 
 @query("sim_jaro_winkler", f"with {PAIRS} select s1_id, tgt_id, round(jaro_winkler_similarity(an, bn), 6) as jw from pr")
 def sim_jaro_winkler(spark, d):
-    df = some_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["jaro_winkler"]))
+    df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["jaro_winkler"]))
     return df.select("s1_id", "tgt_id", F.round("s.jaro_winkler", 6).alias("jw"))
 
 
 @query("sim_kernels")
 def sim_kernels(spark, d):
-    df = some_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), list(similarity.KERNELS)))
+    df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), list(similarity.KERNELS)))
     return df.select("s1_id", "tgt_id", "s.*")
 
 
@@ -237,16 +237,16 @@ _JACCARD = lambda a, b, e: f"case when len(list_distinct(list_concat({a}, {b})))
 
 @query("jaccard_char3", f"with {PAIRS}, gr as (select s1_id, tgt_id, {oracle._grams('an', False)} as g, {oracle._grams('bn', False)} as h from pr) select s1_id, tgt_id, round({_JACCARD('g', 'h', '1e-5')}, 6)::double as jaccard from gr")
 def jaccard_char3(spark, d):
-    return some_pairs(spark, d).select("s1_id", "tgt_id", F.round(similarity.jaccard(text.char_ngrams(F.col("a_c_name")), text.char_ngrams(F.col("b_c_name")), 1e-5), 6).alias("jaccard"))
+    return all_pairs(spark, d).select("s1_id", "tgt_id", F.round(similarity.jaccard(text.char_ngrams(F.col("a_c_name")), text.char_ngrams(F.col("b_c_name")), 1e-5), 6).alias("jaccard"))
 
 
 @query("num_jaccard", f"with {PAIRS} select s1_id, tgt_id, len(list_intersect(anum, bnum))::bigint as common, round({_JACCARD('anum', 'bnum', '0')}, 6)::double as jaccard from pr")
 def num_jaccard(spark, d):
-    return some_pairs(spark, d).select("s1_id", "tgt_id", F.size(F.array_intersect("a_numbers", "b_numbers")).cast("long").alias("common"), F.round(similarity.jaccard(F.col("a_numbers"), F.col("b_numbers")), 6).alias("jaccard"))
+    return all_pairs(spark, d).select("s1_id", "tgt_id", F.size(F.array_intersect("a_numbers", "b_numbers")).cast("long").alias("common"), F.round(similarity.jaccard(F.col("a_numbers"), F.col("b_numbers")), 6).alias("jaccard"))
 
 
 for _kind, _name in {"p1": "features17", "p2": "features28", "p3": "features28_fast", "p4": "features37"}.items():
-    QUERIES[_name] = lambda spark, d, k=_kind: features.features(some_pairs(spark, d), k)
+    QUERIES[_name] = lambda spark, d, k=_kind: features.features(all_pairs(spark, d), k)
 
 _ON = "aa <> '' and ba <> ''"
 _PARTS = {
@@ -260,13 +260,13 @@ _PARTS = {
 
 @query("features37_parts", f"with {PAIRS} select s1_id, tgt_id, " + ", ".join(f"{'round(' + v + ', 6)' if 'ratio' in k else v} as {k}" for k, v in _PARTS.items()) + " from pr")
 def features37_parts(spark, d):
-    out = features.features(some_pairs(spark, d), "p4")
+    out = features.features(all_pairs(spark, d), "p4")
     return out.select("s1_id", "tgt_id", *[F.round(c, 6).alias(c) if "ratio" in c else c for c in _PARTS])
 
 
 @query("score_linear", f"with {PAIRS} select s1_id, tgt_id, round(0.6 * jaro_winkler_similarity(an, bn) + 0.4 * {_JACCARD('anum', 'bnum', '0')}, 6)::double as score from pr")
 def score_linear(spark, d):
-    df = some_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["jaro_winkler"]))
+    df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["jaro_winkler"]))
     df = df.withColumn("jw", F.col("s.jaro_winkler")).withColumn("nj", similarity.jaccard(F.col("a_numbers"), F.col("b_numbers")))
     return df.select("s1_id", "tgt_id", F.round(model.linear({"jw": 0.6, "nj": 0.4}), 6).alias("score"))
 
@@ -274,7 +274,7 @@ def score_linear(spark, d):
 @query("guards", f"""with recursive {PAIRS}, {oracle.ratios('select distinct an as a, bn as b from pr')} select s1_id, tgt_id from pr join ratio on an = a and bn = b
     where not (len(ap) > 0 and len(bp) > 0 and len(list_intersect(ap, bp)) = 0 and r < 90) and not (len(anum) > 0 and len(bnum) > 0 and len(list_intersect(anum, bnum)) = 0 and r < 85)""")
 def guards(spark, d):
-    df = some_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["ratio"]))
+    df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["ratio"]))
     return decide.guarded(df, F.col("s.ratio")).select("s1_id", "tgt_id")
 
 
@@ -340,12 +340,15 @@ def threshold_sweep(spark, d):
 # samples
 
 
-@query("group_split", "select o_orderkey, o_orderkey % 100 < 25 as is_validation from orders")
+_HELD = "('0x' || substring(md5({} || ':42'), 1, 8))::bigint % 100 < 25"
+
+
+@query("group_split", f"select o_orderkey, {_HELD.format('o_orderkey::varchar')} as is_validation from orders")
 def group_split(spark, d):
-    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", (F.col("o_orderkey") % 100 < 25).alias("is_validation"))
+    return sampling.group_split(spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey"), F.col("o_orderkey"))
 
 
-@query("group_split_hashed")
+@query("group_split_hashed", f"select s1_id, tgt_id, {_HELD.format('s1_id::varchar')} as is_validation from ({plain(testbeds.ORDER_TRUTH)})")
 def group_split_hashed(spark, d):
     return sampling.group_split(load(spark, d, testbeds.ORDER_TRUTH), F.col("s1_id"))
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Documents as records of four countries, with real copies.
-DOCS = """select 'S' || cast(1 + doc_id % 3 as string) || '-' || cast(doc_id as string) as entity_id, substring(text, 1, 60) as business_name,
-    substring(text, 61, 80) as business_address, lang as country from {documents}"""
+#: Whole documents as records of four countries, with real copies: the first line as name, all the rest as address.
+DOCS = """select 'S' || cast(1 + doc_id % 3 as string) || '-' || cast(doc_id as string) as entity_id, split_part(text, chr(10), 1) as business_name,
+    substring(text, length(split_part(text, chr(10), 1)) + 2) as business_address, lang as country from {documents}"""
 
 _BASE = """select p_partkey as g, p_name || ' ' || p_type as base, p_brand as brand,
     case p_partkey % 4 when 0 then 'US' when 1 then 'India' when 2 then 'France' else 'Germany' end as country,

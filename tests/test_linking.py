@@ -156,3 +156,23 @@ def test_against_sql(spark, name):
 
 def test_entry_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_kernels_of_many_pairs_are_those_of_each():
+    import random
+
+    rng = random.Random(4)
+    words = ["alpha", "beta", "gam", "delta co", "x", "blue river", "steel", "small plated", "é学", "a b", "anodized copper"]
+    said = lambda: " ".join(rng.choices(words, k=rng.randrange(7)))
+    pairs = [(said(), said()) for _ in range(400)] + [("", ""), ("a", ""), ("", "b"), ("aaaa", "aaaa"), (" ", " a"), ("x" * 70 + "y", "y" + "x" * 70), ("ab" * 32, "ba" * 32), ("ab" * 40, "ba" * 39)]
+    pairs += [(a, a.replace("a", "e")) for a, _ in pairs[:100]]
+    got = similarity.all_kernels(list(similarity.KERNELS), pairs)
+    for name, one in similarity.KERNELS.items():
+        assert got[name].tolist() == [one(a, b) for a, b in pairs]
+
+
+def test_group_split_keeps_keys_together(spark):
+    df = spark.createDataFrame([(i % 200, i) for i in range(1000)] + [(None, 1), (None, 2)], "k long, v long")
+    out = sampling.group_split(df, F.col("k"))
+    assert out.groupBy("k").agg(F.countDistinct("is_validation").alias("n")).filter("n > 1").count() == 0
+    assert 0.15 < out.filter("is_validation").count() / out.count() < 0.35 and out.filter("is_validation is null").count() == 0
