@@ -8,11 +8,9 @@ merged against each level to find keys met before, then levels of equal size mer
 
 Anchors whose keys repeat are looked at closer. An anchor stands for the strings around it of which it is the place;
 their union is its context. If a context repeats as a whole, all of its strings do. The others are compared string by
-string with one representative of each context of the same key, sorted runs at a time. Keys of more than `ROWS` anchors
-are not brought together in one task: their contexts' strings are counted by hash, pre-aggregated, wherever they are.
-Hashes have 64 bits and are met under equal keys of 64 bits; no text leaves its document but the contexts of
-representatives. What passes on to the closer look, and which keys count as large, is cut by bitmaps of a fixed size,
-which may let more pass than needed but never less: either way gives the same result.
+string with one representative of each context of the same key, sorted runs at a time. Hashes have 64 bits and are met
+under equal keys of 64 bits; no text leaves its document but the contexts of representatives. What passes on to the
+closer look is cut by bitmaps of a fixed size, which may let more pass than needed but never less.
 
 Null texts count as empty. Texts shorter than `MIN_BYTES` keep all. Rows that agree in id and text are documents of
 their own, each repeating the other. Null ids are ids. An empty table gives an empty table.
@@ -34,7 +32,7 @@ GRAM = 64
 BATCHES = 4
 #: Windows of a long text looked at together.
 PART = 1 << 20
-#: Contexts compared together, and anchors of a key from which on its strings are dealt out by their hashes.
+#: Contexts compared together, if their keys end there.
 ROWS = 4000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
@@ -116,10 +114,10 @@ def _passing(bitmap: np.ndarray | None, keys: np.ndarray) -> np.ndarray:
     return np.ones(len(keys), bool) if bitmap is None else passing(bitmap, keys)
 
 
-def _scan(docs: DataFrame, what: str, sent=None, large=None) -> DataFrame:
+def _scan(docs: DataFrame, what: str, sent=None) -> DataFrame:
     """keys: batch, g of all anchors. records: those whose key passes the bitmap, without text. contexts: those whose
-    identity passes, with the bytes, and whether the key passes the other bitmap, of large ones."""
-    schema = {"keys": "b int, g long", "records": "r1 long, r2 long, first int, last int, g long, h long, id long", "contexts": "g long, r1 long, r2 long, first int, last int, at int, large int, context binary"}[what]
+    identity passes, with the bytes."""
+    schema = {"keys": "b int, g long", "records": "r1 long, r2 long, first int, last int, g long, h long, id long", "contexts": "g long, r1 long, r2 long, first int, last int, at int, context binary"}[what]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = None if sent is None else sent.value
@@ -139,7 +137,7 @@ def _scan(docs: DataFrame, what: str, sent=None, large=None) -> DataFrame:
                         if what == "records":
                             out.append([*row, g[keep].view(np.int64), h[keep].view(np.int64), who[keep].view(np.int64)])
                         else:
-                            out.append([g[keep].view(np.int64), *row, at[keep] + start, _passing(large.value, g[keep]).astype(np.int32)])
+                            out.append([g[keep].view(np.int64), *row, at[keep] + start])
                             held += [part[i : j + MIN_BYTES].tobytes() for i, j in zip(first[keep].tolist(), last[keep].tolist(), strict=True)]
                     size += n
                 if size > 20_000:
@@ -250,23 +248,6 @@ def _compared(contexts: DataFrame) -> DataFrame:
     return contexts.repartition("g").sortWithinPartitions("g").mapInArrow(run, "r1 long, r2 long, first int, last int")
 
 
-def _counted(contexts: DataFrame, scratch: Scratch) -> DataFrame:
-    """The same for large keys: strings are rows, and which of them repeat is counted before it is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for i in range(0, b.num_rows, 500):
-                rows = pa.Table.from_batches([b.slice(i, 500)])
-                row, number, hashed = _strings(rows)
-                take = lambda c: rows[c].to_numpy()[row]  # noqa: E731, B023
-                yield pa.RecordBatch.from_arrays([pa.array(take("g")), pa.array(hashed.view(np.int64)), pa.array(take("r1")), pa.array(take("r2")), pa.array((take("first") + number).astype(np.int32))], names=["g", "s", "r1", "r2", "first"])
-
-    strings = scratch.save(contexts.mapInArrow(run, "g long, s long, r1 long, r2 long, first int"))
-    # written, so that the join stands alone on its exchanges and Spark can split a string that many have
-    twice = scratch.save(strings.groupBy("g", "s").agg(F.count("*").alias("c")).filter("c > 1").select("g", "s"))
-    return strings.join(twice, ["g", "s"], "left_semi").select("r1", "r2", "first", F.col("first").alias("last"))
-
-
 def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """r1, r2, spans: for each document with any, (first, last) of the starts of repeated strings. r1 and r2 are the
     document's hashes, as `references` makes them."""
@@ -284,11 +265,9 @@ def repeated_spans(df: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
         scratch.drop(level)
     classes = scratch.save(records.groupBy("g", "h").agg(F.count("*").alias("n"), F.min("id").alias("id")))
     whole = records.join(classes.filter("n > 1").select("g", "h"), ["g", "h"], "left_semi").select("r1", "r2", "first", "last")
-    apart = scratch.save(classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least"), F.sum("n").alias("anchors")).filter("c > 1 and least = 1").select("g", "anchors"))
+    apart = classes.groupBy("g").agg(F.count("*").alias("c"), F.min("n").alias("least")).filter("c > 1 and least = 1").select("g")
     told = classes.join(apart, "g", "left_semi").select(F.col("id").alias("k"))
-    large = apart.filter(F.col("anchors") > ROWS).select(F.col("g").alias("k"))
-    contexts = scratch.save(_scan(docs, "contexts", fixed_bitmap(told), fixed_bitmap(large)))
-    spans = whole.unionByName(_compared(contexts.filter("large = 0").drop("large"))).unionByName(_counted(contexts.filter("large = 1").drop("large"), scratch))
+    spans = whole.unionByName(_compared(_scan(docs, "contexts", fixed_bitmap(told))))
     return spans.groupBy("r1", "r2").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
