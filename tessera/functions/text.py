@@ -25,12 +25,12 @@ def _ascii(c: str) -> str:
     return unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
 
 
-def _fold_tables() -> tuple[str, str, list[tuple[str, str]]]:
-    """Letters with one ASCII stand-in, these stand-ins, and a few signs with longer ones."""
-    blocks = [*range(0xA0, 0x250), *range(0x1E00, 0x1F00), *range(0x2000, 0x2070), *range(0x2100, 0x2140), *range(0x3000, 0x3001), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]
-    folded = [(chr(i), _ascii(chr(i))) for i in blocks]
+def _fold_tables() -> tuple[str, str, dict[str, str]]:
+    """Letters with one ASCII stand-in, these stand-ins, and the signs with longer ones, of all of Unicode: planes past
+    the third hold none."""
+    folded = [(chr(i), _ascii(chr(i))) for i in range(0x80, 0x30000) if not 0xD800 <= i < 0xE000]
     one = [(c, x) for c, x in folded if len(x) == 1]
-    return "".join(c for c, _ in one), "".join(x for _, x in one), [(c, x) for c, x in folded if c in "™½¼¾№ﬁﬂﬀﬃﬄ…Ǆǅǆ" and len(x) > 1]
+    return "".join(c for c, _ in one), "".join(x for _, x in one), {c: x for c, x in folded if len(x) > 1}
 
 
 _FROM, _TO, _LONG = _fold_tables()
@@ -41,12 +41,19 @@ def missing_as_empty(x: Column) -> Column:
 
 
 def fold(x: Column) -> Column:
-    """ASCII stand-ins of letters; other signs go."""
-    for c, plain in _LONG:
-        x = F.replace(x, F.lit(c), F.lit(plain))
+    """ASCII stand-ins of letters; other signs go. Only texts that hold a sign with a longer stand-in are looked up sign
+    by sign."""
+    table = F.str_to_map(F.lit("\x02".join(f"{c}\x01{s}" for c, s in _LONG.items())), F.lit("\x02"), F.lit("\x01"))
+    spelled = F.array_join(F.transform(F.split(x, ""), lambda c: F.coalesce(F.try_element_at(table, c), c)), "")
+    x = F.when(x.rlike(f"[{''.join(_LONG)}]"), spelled).otherwise(x)
     return F.regexp_replace(F.translate(x, _FROM, _TO), r"[^\x00-\x7F]", "")
 
 
+def strip(x: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
 def fold_all(x: Column) -> Column:
     """The same by full compatibility decomposition, for scripts beyond the tables."""
 
@@ -62,7 +69,7 @@ def tokens(x: Column) -> Column:
 
 
 def clean_name(x: Column, legal: list[str] = LEGAL, tld: str = TLD) -> Column:
-    x = F.trim(F.lower(fold(missing_as_empty(x))))
+    x = strip(F.lower(fold(missing_as_empty(x))))
     x = F.regexp_replace(F.regexp_replace(x, r"^https?://", ""), r"^www\.", "")
     x = F.regexp_replace(x, tld, "")
     for sign, word in (("&", " and "), ("@", " at "), ("+", " plus ")):
@@ -77,7 +84,7 @@ def drop_words(x: Column, words: list[str]) -> Column:
 
 
 def clean_address(x: Column) -> Column:
-    x = F.replace(F.trim(F.lower(fold(missing_as_empty(x)))), F.lit("#"), F.lit(" number "))
+    x = F.replace(strip(F.lower(fold(missing_as_empty(x)))), F.lit("#"), F.lit(" number "))
     table = F.create_map(*[F.lit(v) for pair in ABBREVIATIONS.items() for v in pair])
     return F.array_join(F.transform(tokens(F.regexp_replace(x, r"[^a-z0-9\s]", " ")), lambda t: F.coalesce(F.try_element_at(table, t), t)), " ")
 

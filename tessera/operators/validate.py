@@ -6,6 +6,7 @@ and only five examples of each rule are gathered.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,11 +76,13 @@ def validate_files(spark: SparkSession, matches: str, candidates: str, required:
         try:
             text = spark.read.text(path)
             header = next(iter(x.value for x in text.limit(1).collect()), None)
-        except Exception:  # a missing or unreadable file is a finding, not a crash
+        except AnalysisException:  # a missing file is a finding, not a crash
             return 1, None
         if header_problem(header, kind):
             return 1, None
-        both.append(parsed(text.filter(F.col("value") != header).withColumn("line", F.monotonically_increasing_id())))
+        # one line is the header; lines that repeat it are rows
+        again = spark.range(text.filter(F.col("value") == header).count() - 1).select(F.lit(header).alias("value"))
+        both.append(parsed(text.filter(F.col("value") != header).unionByName(again).withColumn("line", F.monotonically_increasing_id())))
     told = report(violations(both[0], required, known, both[1]).unionByName(violations(both[1], required, known)))
     return int(bool(told.filter("severity = 'error'").limit(1).count())), told
 

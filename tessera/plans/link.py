@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import similarity
@@ -36,12 +36,14 @@ def fit(raw: DataFrame, truth: DataFrame, profile: Profile, kind: str = "p4", ne
 
 
 def resolve(raw: DataFrame, fitted, profile: Profile, kind: str = "p4", threshold: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """Match lists and candidate lists of all queries: blocking, features, probability, threshold, guards, caps."""
+    """Match lists and candidate lists of all queries: blocking, features, probability, threshold, guards, caps. fitted: a
+    model, or a score as an expression over the features."""
     s1, tgt = split(records.preprocess(raw))
     found = blocking.candidates(s1, tgt, profile)
     pairs = features.pairs(found.select("s1_id", "tgt_id"), s1, tgt)
     rows = features.features(pairs, kind, ("s1_id", "tgt_id", "a_numbers", "b_numbers", "a_postals", "b_postals"))
-    scored = model.predict(fitted, rows, "score").filter(F.col("score") >= (profile.threshold if threshold is None else threshold))
+    scored = rows.withColumn("score", fitted) if isinstance(fitted, Column) else model.predict(fitted, rows, "score")
+    scored = scored.filter(F.col("score") >= (profile.threshold if threshold is None else threshold))
     ranked = decide.capped(decide.guarded(scored, 100 * F.col("name_ratio")), dict(zip(("S2", "S3"), profile.caps, strict=True)))
     return decide.match_lists(ranked, s1), decide.match_lists(found, s1)
 
@@ -58,7 +60,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--model-dir", required=True)
     p.add_argument("--profile", default="v6", choices=sorted(PROFILES))
     p.add_argument("--threshold", type=float)
-    p.add_argument("--country")
+    p.add_argument("--country", help="link one country's records only; its lists go to a folder of their own")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("tessera-link").getOrCreate()
     profile = PROFILES[a.profile]
@@ -72,8 +74,9 @@ def main(argv: list[str] | None = None) -> int:
     if a.country:
         raw = raw.filter(F.col("country") == a.country)
     matches, candidates = resolve(raw, model.load_or_train(a.model_dir, build), profile, threshold=a.threshold)
-    records.write_match_lists(matches, f"{a.output_dir}/matching_results")
-    records.write_match_lists(candidates, f"{a.output_dir}/candidate_pairs", records.CANDIDATES)
+    out = f"{a.output_dir}/country={a.country}" if a.country else a.output_dir
+    records.write_match_lists(matches, f"{out}/matching_results")
+    records.write_match_lists(candidates, f"{out}/candidate_pairs", records.CANDIDATES)
     return 0
 
 

@@ -478,3 +478,18 @@ def resolve_rule(spark, d):
     from tessera.plans.link import resolve_by_rule
 
     return resolve_by_rule(load(spark, d, testbeds.PARTIES), PROFILES["v6"], 0.9)
+
+
+_SCORED = f"0.6 * (r / 100) + 0.4 * case when {_ON} and len(anum) > 0 and len(bnum) > 0 then {_JACCARD('anum', 'bnum', '0')} else 0.0 end"
+
+
+@query("resolve_linear", f"""with recursive {PAIRS}, {oracle.ratios('select distinct an as a, bn as b from pr')}, sc as (select *, round({_SCORED}, 9) as score from pr join ratio on an = a and bn = b),
+    gu as (select * from sc where score >= {PROFILES['v6'].threshold} and not (len(ap) > 0 and len(bp) > 0 and len(list_intersect(ap, bp)) = 0 and r < 90) and not (len(anum) > 0 and len(bnum) > 0 and len(list_intersect(anum, bnum)) = 0 and r < 85)),
+    cp as (select s1_id, tgt_id, row_number() over (partition by s1_id, substring(tgt_id, 1, 2) order by score desc, tgt_id) as rank from gu qualify rank <= 3),
+    l as (select s1_id, string_agg(tgt_id, ',' order by substring(tgt_id, 1, 2), rank) as ids from cp group by 1)
+    select entity_id as s1_id, coalesce(ids, '') as ids from norm left join l on entity_id = s1_id where src = 'S1'""")
+def resolve_linear(spark, d):
+    """The whole path of inference with a fixed linear score for a model."""
+    from tessera.plans.link import resolve
+
+    return resolve(load(spark, d, testbeds.PARTIES), F.round(model.linear({"name_ratio": 0.6, "num_jaccard": 0.4}), 9), PROFILES["v6"])[0]

@@ -176,3 +176,10 @@ def test_group_split_keeps_keys_together(spark):
     out = sampling.group_split(df, F.col("k"))
     assert out.groupBy("k").agg(F.countDistinct("is_validation").alias("n")).filter("n > 1").count() == 0
     assert 0.15 < out.filter("is_validation").count() / out.count() < 0.35 and out.filter("is_validation is null").count() == 0
+
+
+def test_fold_spells_signs_of_more_letters(spark):
+    signs = ["Dĳkstra", "‼", "ǉ", "①", "Ⅷ", "㎏", "𝐀cme", "½", "…", "Ørsted", None]
+    want = [None if x is None else text._ascii(x) for x in signs]
+    assert column(spark, signs, text.fold) == column(spark, signs, text.fold_all) == want and want[:7] == ["Dijkstra", "!!", "lj", "1", "VIII", "kg", "Acme"]
+    assert column(spark, ["\n\t https://www.foo.com"], text.clean_name) == ["foo"]
