@@ -80,8 +80,9 @@ def validate_files(spark: SparkSession, matches: str, candidates: str, required:
             return 1, None
         if header_problem(header, kind):
             return 1, None
-        # one line is the header; lines that repeat it are rows
-        again = spark.range(text.filter(F.col("value") == header).count() - 1).select(F.lit(header).alias("value"))
+        # one line of each file is its header; lines that repeat it are rows
+        headers = text.filter(F.col("value") == header).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+        again = spark.range(headers.agg(F.sum(F.col("n") - 1)).first()[0]).select(F.lit(header).alias("value"))
         both.append(parsed(text.filter(F.col("value") != header).unionByName(again).withColumn("line", F.monotonically_increasing_id())))
     told = report(violations(both[0], required, known, both[1]).unionByName(violations(both[1], required, known)))
     return int(bool(told.filter("severity = 'error'").limit(1).count())), told

@@ -183,3 +183,15 @@ def test_fold_spells_signs_of_more_letters(spark):
     want = [None if x is None else text._ascii(x) for x in signs]
     assert column(spark, signs, text.fold) == column(spark, signs, text.fold_all) == want and want[:7] == ["Dijkstra", "!!", "lj", "1", "VIII", "kg", "Acme"]
     assert column(spark, ["\n\t https://www.foo.com"], text.clean_name) == ["foo"]
+
+
+def test_a_repeated_header_is_reported(spark, tmp_path):
+    required = spark.createDataFrame([("S1-1",)], "s1_id string")
+    for name, kind in (("m", records.MATCHES), ("c", records.CANDIDATES)):
+        head = "\t".join(kind)
+        (tmp_path / name).write_text(f"{head}\nS1-1\tS2-1\n" + (f"{head}\n" if name == "m" else ""))
+    code, told = validate.validate_files(spark, f"{tmp_path}/m", f"{tmp_path}/c", required)
+    assert code == 1 and {r.rule for r in told.collect()} >= {"V11"}
+    (tmp_path / "m").write_text("\t".join(records.MATCHES) + "\nS1-1\tS2-1\n")
+    assert validate.validate_files(spark, f"{tmp_path}/m", f"{tmp_path}/c", required)[0] == 0
+    assert validate.validate_files(spark, f"{tmp_path}/none", f"{tmp_path}/c", required) == (1, None)
