@@ -31,14 +31,31 @@ def _flag(c: Column) -> Column:
     return F.when(c, 1.0).otherwise(0.0)
 
 
-def features(df: DataFrame, kind: str = "p3", keep: tuple[str, ...] = ("s1_id", "tgt_id")) -> DataFrame:
-    """df's `keep` columns and the vector `kind`; p3 drops pairs whose names are far apart (`reject`)."""
+def _far(name: str = "_n") -> Column:
+    """Whether the names of a pair, with their similarities in the struct `name`, are too far apart for the fast form."""
+    return (F.col(f"{name}.ratio") < 35) & (F.col(f"{name}.token_set") < 40) & (F.col("a_c_name") != F.col("b_c_name"))
+
+
+def passing(df: DataFrame) -> DataFrame:
+    """The pairs that the fast form keeps."""
+    both = similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["ratio", "token_set"])
+    return df.withColumn("_n", both).filter(~_far()).drop("_n")
+
+
+def _grams(name: str, grams: str) -> Column:
+    """Letter triples of a record's name: "compact" and "raw_whole" give shorter texts whole, "raw" gives none for them."""
+    return text.char_ngrams(F.col(f"{name}_comp_name" if grams == "compact" else f"{name}_c_name"), short="none" if grams == "raw" else "whole")
+
+
+def features(df: DataFrame, kind: str = "p3", keep: tuple[str, ...] = ("s1_id", "tgt_id"), grams: str | None = None) -> DataFrame:
+    """df's `keep` columns and the vector `kind`; p3 drops pairs whose names are far apart. grams: which letter triples of
+    the names are compared, "compact", "raw" or "raw_whole"; by default those of the kind's last generation."""
     late = kind in ("p3", "p4")  # these run the kernels on empty names too
     a, b, x, y = F.col("a_c_name"), F.col("b_c_name"), F.col("a_c_addr"), F.col("b_c_addr")
     name_kernels = ["ratio", "partial", "token_sort", "token_set", "wratio", *(["jaro_winkler"] if kind == "p4" else [])]
     df = df.withColumn("_n", similarity.similarities(a, b, name_kernels))
     if kind == "p3":
-        df = df.filter(~((F.col("_n.ratio") < 35) & (F.col("_n.token_set") < 40) & (a != b)))
+        df = df.filter(~_far())
     df = df.withColumn("_a", similarity.similarities(x, y, ["ratio", "partial", "token_sort", "token_set", *(["jaro_winkler"] if kind == "p4" else [])]))
     named, placed = (a != "") & (b != ""), (x != "") & (y != "")
     own = lambda c, fine: c if fine is None else F.when(fine, c).otherwise(0.0)
@@ -49,10 +66,9 @@ def features(df: DataFrame, kind: str = "p3", keep: tuple[str, ...] = ("s1_id",
     nums, pins = F.size(F.array_intersect("a_numbers", "b_numbers")), F.arrays_overlap("a_postals", "b_postals")
     both = lambda c: (F.size(f"a_{c}") > 0) & (F.size(f"b_{c}") > 0)
     ta, tb = text.tokens(a), text.tokens(b)
-    short = "whole" if kind == "p3" else "none"
     ca, cb = F.col("a_comp_name"), F.col("b_comp_name")
-    grams = (text.char_ngrams(a, short=short), text.char_ngrams(b, short=short))
-    gram_jaccard = own(similarity.jaccard(*grams, epsilon=1e-5), (F.size(grams[0]) > 0) & (F.size(grams[1]) > 0) if late else named)
+    triples = [_grams(x, grams or ("raw_whole" if kind == "p3" else "raw")) for x in "ab"]
+    gram_jaccard = own(similarity.jaccard(*triples, epsilon=1e-5), (F.size(triples[0]) > 0) & (F.size(triples[1]) > 0) if late else named)
     first = F.substring(x, 1, 6) == F.substring(y, 1, 6) if late else F.get(text.tokens(x), F.lit(0)) == F.get(text.tokens(y), F.lit(0))
     values = {
         "name_ratio": name("ratio"), "name_partial_ratio": name("partial"), "name_token_sort": name("token_sort"), "name_token_set": name("token_set"), "name_wratio": name("wratio"),

@@ -59,6 +59,14 @@ def threshold_sweep(queries: DataFrame, truth: DataFrame, scored: DataFrame, thr
     return long.join(F.broadcast(best)).select("threshold", "macro_f05", (F.col("threshold") == -F.col("b.x")).alias("is_best"))
 
 
+def capture_report(candidates: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: true pairs, those among the candidates, and their share in percent."""
+    key = ["s1_id", "tgt_id"]
+    met = truth.select(*key).distinct().join(candidates.select(*key).distinct().withColumn("hit", F.lit(1)), key, "left")
+    out = met.agg(F.count("*").alias("n_true"), F.count("hit").alias("n_captured"))
+    return out.select("n_true", "n_captured", (100.0 * F.col("n_captured") / F.greatest("n_true", F.lit(1))).alias("recall_ceiling"))
+
+
 def blocking_report(s1: DataFrame, targets: DataFrame, candidates: DataFrame, truth: DataFrame) -> DataFrame:
     """One row: true pairs, those among the candidates and their share, candidates, their mean, and how much of the pair
     space they spare, in percent. All but the distinct joins are aggregates of one row."""

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
+from tessera.operators import blocking, features
 
 
 def group_split(df: DataFrame, key: Column, held_percent: int = 25, seed: int = 42) -> DataFrame:
@@ -46,6 +47,39 @@ def capped_negatives(ranked: DataFrame, truth: DataFrame, n: int) -> DataFrame:
     return wrong.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= n)
 
 
+def mined(found: DataFrame, truth: DataFrame, s1: DataFrame, targets: DataFrame, n: int) -> DataFrame:
+    """s1_id, tgt_id, label: the true pairs, and of each query's candidates the first n wrong ones, by rank. Pairs that the
+    fast form of the features drops are neither taken nor counted, true ones too."""
+    key = ["s1_id", "tgt_id"]
+    right = truth.select(*key).distinct()
+    wrong = found.join(right, key, "left_anti").select(*key, F.lit(0.0).alias("label"), "rank")
+    both = right.select(*key, F.lit(1.0).alias("label"), F.lit(0).alias("rank")).unionByName(wrong)
+    kept = features.passing(features.pairs(both, s1, targets)).select(*key, "label", "rank")
+    order = Window.partitionBy("s1_id", "label").orderBy("rank", "tgt_id")
+    return kept.withColumn("n", F.row_number().over(order)).filter((F.col("label") == 1) | (F.col("n") <= n)).select(*key, "label")
+
+
+def first_postings(s1: DataFrame, targets: DataFrame, truth: DataFrame, cap: int = 15) -> DataFrame:
+    """s1_id, tgt_id, label: the first `cap` targets of each word of three letters or more, and the true pairs."""
+    words = blocking.Profile("first postings", {"token": blocking.Channel(1.0, cap)}, 0)
+    asked = blocking.keys(s1, words, True).withColumnRenamed("id", "s1_id")
+    met = asked.join(blocking.index(targets, words), ["country", "channel", "key"])
+    known = truth.join(s1.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi").join(targets.select(F.col("entity_id").alias("tgt_id")), "tgt_id", "left_semi")
+    return labelled(met, known)
+
+
+def sample(df: DataFrame, n: int, seed: int, *by: str) -> DataFrame:
+    """n rows, the first in an order of hashes of the columns `by`; all, if there are fewer."""
+    return df.orderBy(F.xxhash64(*by, F.lit(seed)), *by).limit(n)
+
+
+def positives_and_random(truth: DataFrame, s1: DataFrame, targets: DataFrame, positives: int = 1_000_000, negatives: int = 400_000, seed: int = 42) -> DataFrame:
+    """s1_id, tgt_id, label: a sample of the true pairs, and random pairs that are not true."""
+    right = truth.select("s1_id", "tgt_id").distinct()
+    wrong = random_negatives(s1, targets, negatives, seed).join(right, ["s1_id", "tgt_id"], "left_anti")
+    return sample(right, positives, seed, "s1_id", "tgt_id").withColumn("label", F.lit(1.0)).unionByName(wrong.withColumn("label", F.lit(0.0)))
+
+
 def random_negatives(s1: DataFrame, targets: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n pairs of independent samples, in order of hashed ids; n bounds both."""
     order = lambda salt: [F.xxhash64("entity_id", F.lit(seed + salt)), F.col("entity_id")]
@@ -71,3 +105,18 @@ def hard_negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, kind: st
     wrong = met.join(truth.select("s1_id", "tgt_id"), ["s1_id", "tgt_id"], "left_anti")
     order = Window.partitionBy("s1_id").orderBy("rk")
     return wrong.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= taken).select("s1_id", "tgt_id")
+
+
+def all_hard_negatives(s1: DataFrame, targets: DataFrame, truth: DataFrame, positives: int = 120_000, extra: int = 150_000, queries: int = 100_000, total: int = 500_000, seed: int = 42) -> DataFrame:
+    """s1_id, tgt_id, kind of all three kinds, from a sample of the true pairs: the queries in it, up to `queries` for each
+    kind, against the targets in it and `extra` others. `total` bounds the rows; kinds come in their order, then queries."""
+    of = lambda df, key, name: df.select(F.col(key).alias(name)).distinct()
+    right = sample(truth.select("s1_id", "tgt_id").distinct(), positives, seed, "s1_id", "tgt_id")
+    ids = of(right, "tgt_id", "entity_id").unionByName(sample(targets.select("entity_id"), extra, seed, "entity_id")).distinct()
+    known = targets.join(ids, "entity_id", "left_semi")
+    asked = s1.join(of(right, "s1_id", "entity_id"), "entity_id", "left_semi")
+    out = None
+    for k, kind in enumerate(("brand", "token", "postal")):
+        rows = hard_negatives(sample(asked, queries, seed + k, "entity_id"), known, truth, kind).select("s1_id", "tgt_id", F.lit(kind).alias("kind"), F.lit(k).alias("k"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.orderBy("k", "s1_id", "tgt_id").limit(total).drop("k")

@@ -72,6 +72,7 @@ def header_problem(header: str | None, kind: tuple[str, str] = MATCHES) -> str |
 def validate_files(spark: SparkSession, matches: str, candidates: str, required: DataFrame, known: DataFrame | None = None) -> tuple[int, DataFrame | None]:
     """0 or 1 as an exit code, and the report; a bad file or header ends it at once. Warnings never fail."""
     both = []
+    broken = None
     for path, kind in ((matches, MATCHES), (candidates, CANDIDATES)):
         try:
             text = spark.read.text(path)
@@ -80,11 +81,14 @@ def validate_files(spark: SparkSession, matches: str, candidates: str, required:
             return 1, None
         if header_problem(header, kind):
             return 1, None
+        # lines are raw bytes to the reader; what is no UTF-8 is counted, with the file
+        bad = text.filter(~F.is_valid_utf8("value")).select(F.lit("V13").alias("rule"), F.lit("error").alias("severity"), F.concat_ws(":", F.lit(kind[1]), F.hex(F.substring(F.col("value").cast("binary"), 1, 40))).alias("id"))
+        broken = bad if broken is None else broken.unionByName(bad)
         # one line of each file is its header; lines that repeat it are rows
         headers = text.filter(F.col("value") == header).groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
         again = spark.range(headers.agg(F.sum(F.col("n") - 1)).first()[0]).select(F.lit(header).alias("value"))
         both.append(parsed(text.filter(F.col("value") != header).unionByName(again).withColumn("line", F.monotonically_increasing_id())))
-    told = report(violations(both[0], required, known, both[1]).unionByName(violations(both[1], required, known)))
+    told = report(violations(both[0], required, known, both[1]).unionByName(violations(both[1], required, known)).unionByName(broken))
     return int(bool(told.filter("severity = 'error'").limit(1).count())), told
 
 

@@ -26,6 +26,12 @@ def resolve_by_rule(raw: DataFrame, profile: Profile, least: float) -> DataFrame
     return decide.match_lists(ranked, s1)
 
 
+def learner(profile: Profile) -> dict:
+    """The parameters of the generation's boosted trees."""
+    same = {"high_recall": "base", "v3fast": "v3", "v5": "v4", "v6": "stage2", "stage1": "stage2"}
+    return model.LEARNERS[same.get(profile.name, profile.name)]
+
+
 def fit(raw: DataFrame, truth: DataFrame, profile: Profile, kind: str = "p4", negatives: int | None = None, **params) -> tuple:
     """A model, and the labelled feature rows of the held-out queries."""
     s1, tgt = split(records.preprocess(raw))
@@ -40,14 +46,36 @@ def resolve(raw: DataFrame, fitted, profile: Profile, kind: str = "p4", threshol
     model, or a score as an expression over the features."""
     s1, tgt = split(records.preprocess(raw))
     found = blocking.candidates(s1, tgt, profile)
-    pairs = features.pairs(found.select("s1_id", "tgt_id"), s1, tgt)
-    rows = features.features(pairs, kind, ("s1_id", "tgt_id", "a_numbers", "b_numbers", "a_postals", "b_postals"))
-    scored = rows.withColumn("score", fitted) if isinstance(fitted, Column) else model.predict(fitted, rows, "score")
-    scored = scored.filter(F.col("score") >= (profile.threshold if threshold is None else threshold))
-    ranked = decide.capped(decide.guarded(scored, 100 * F.col("name_ratio")), dict(zip(("S2", "S3"), profile.caps, strict=True)))
+    ranked = scored(found, s1, tgt, fitted, profile, kind).filter(F.col("score") >= (profile.threshold if threshold is None else threshold))
     return decide.match_lists(ranked, s1), decide.match_lists(found, s1)
 
 
+def scored(found: DataFrame, s1: DataFrame, tgt: DataFrame, fitted, profile: Profile, kind: str) -> DataFrame:
+    """s1_id, tgt_id, score, rank of candidates after guards and caps, before any threshold. A threshold keeps the best of
+    each query, so that it may come before the caps or after them."""
+    rows = features.features(features.pairs(found.select("s1_id", "tgt_id"), s1, tgt), kind, ("s1_id", "tgt_id", "a_numbers", "b_numbers", "a_postals", "b_postals"))
+    rows = rows.withColumn("score", fitted) if isinstance(fitted, Column) else model.predict(fitted, rows, "score")
+    return decide.capped(decide.guarded(rows, 100 * F.col("name_ratio")), dict(zip(("S2", "S3"), profile.caps, strict=True)))
+
+
+def tune(raw: DataFrame, truth: DataFrame, profile: Profile, configs: list[dict] = model.GRID, percents: list[int] = model.GRID_PERCENTS, kind: str = "p3", negatives: int = 4, mine_k: int = 10) -> list[dict]:
+    """Each configuration with its best threshold and the macro F0.5 there of held-out queries, end to end, best first. It
+    learns from the other queries' true pairs and their first wrong candidates."""
+    s1, tgt = split(records.preprocess(raw))
+    s1 = sampling.group_split(s1, F.col("entity_id"))
+    learn, held = s1.filter("not is_validation"), s1.filter("is_validation")
+    pairs = sampling.mined(blocking.candidates(learn, tgt, profile, mine_k), truth.join(learn.select(F.col("entity_id").alias("s1_id")), "s1_id", "left_semi"), learn, tgt, negatives)
+    rows = features.features(features.pairs(pairs, learn, tgt), kind, ("s1_id", "tgt_id", "label"))
+    found, queries = blocking.candidates(held, tgt, profile), held.select(F.col("entity_id").alias("s1_id"))
+    right = truth.join(queries, "s1_id", "left_semi")
+    out = []
+    for config in configs:
+        told = calibrate(scored(found, held, tgt, model.train(rows, features.VECTORS[kind], **config), profile, kind), right, queries, percents)
+        best = told.filter("is_best").first()
+        out.append({**config, "threshold": best.threshold / 100, "macro_f05": best.macro_f05})
+    return sorted(out, key=lambda r: -r["macro_f05"])
+
+
 def calibrate(scored: DataFrame, truth: DataFrame, queries: DataFrame, percents: list[int]) -> DataFrame:
     """The sweep over thresholds given in hundredths, for scored pairs (s1_id, tgt_id, score from 0 to 1)."""
     return metrics.threshold_sweep(queries, truth, scored.withColumn("score", 100 * F.col("score")), percents)
@@ -68,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
 
     def build():
         lists = records.read_match_lists(spark, f"{a.data_dir}/train_ground_truth.tsv")
-        return fit(read("train"), lists.select("s1_id", F.explode("ids").alias("tgt_id")), profile)[0]
+        return fit(read("train"), lists.select("s1_id", F.explode("ids").alias("tgt_id")), profile, **learner(profile))[0]
 
     raw = read("test")
     if a.country:

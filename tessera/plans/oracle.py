@@ -82,3 +82,13 @@ def ratios(pairs: str) -> str:
     walk(a, b, k, row) as (select a, b, 0, [0 for x in range(length(a))] from ab
         union all select a, b, k + 1, list_transform(range(1, length(a) + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda i: greatest(row[i], case when a[i] = b[k + 1] then coalesce(row[i - 1], 0) + 1 else 0 end)))) from walk where k < length(b)),
     ratio as (select a, b, case when a = '' and b = '' then 100.0 else 200.0 * coalesce(row[length(a)], 0) / (length(a) + length(b)) end as r from walk where k = length(b))"""
+
+
+def token_sets(pairs: str) -> str:
+    """CTEs from a query of distinct (a, b) to `ratio` of these, and `token_set` (a, b, ts). Needs WITH RECURSIVE."""
+    return f"""tp as ({pairs}), tw as (select a, b, list_sort(list_distinct({tokens("a")})) as ta, list_sort(list_distinct({tokens("b")})) as tb from tp),
+    tc as (select a, b, ta, tb, [t for t in ta if list_contains(tb, t)] as shared, [t for t in ta if not list_contains(tb, t)] as ra, [t for t in tb if not list_contains(ta, t)] as rb from tw),
+    tj as (select *, coalesce(array_to_string(shared, ' '), '') as sh, coalesce(array_to_string(list_concat(shared, ra), ' '), '') as x, coalesce(array_to_string(list_concat(shared, rb), ' '), '') as y from tc),
+    {ratios("select a, b from tp union select x, y from tj union select sh, x from tj union select sh, y from tj")},
+    token_set as (select tj.a, tj.b, case when len(ta) = 0 or len(tb) = 0 then 0.0 when len(shared) > 0 and (len(ra) = 0 or len(rb) = 0) then 100.0 else greatest(p.r, q.r, s.r) end as ts from tj
+        join ratio p on p.a = x and p.b = y join ratio q on q.a = sh and q.b = x join ratio s on s.a = sh and s.b = y)"""

@@ -132,6 +132,11 @@ def source_ids(spark, d):
     return ids.select("entity_id", records.source(F.col("entity_id")).alias("src"), F.col("entity_id").startswith("S3-").cast("int").alias("is_s3"))
 
 
+@query("countries", f"select distinct country from ({PARTIES})")
+def countries(spark, d):
+    return records.countries(load(spark, d, testbeds.PARTIES))
+
+
 @query("target_union", f"select country, substring(entity_id, 1, 2) as src, count(*) as n from ({PARTIES}) where entity_id not like 'S1-%' group by all")
 def target_union(spark, d):
     df = load(spark, d, testbeds.PARTIES)
@@ -181,14 +186,25 @@ def tfidf_cosine(spark, d):
     return blocking.tfidf_cosine(df.filter("src = 'S1'"), df.filter("src <> 'S1'"))
 
 
-@query("cascade_v2")
+def _tier(key: str, where: str, scores: tuple[str, ...]) -> str:
+    """First-tier hits by equal `key`, with addresses held against each other."""
+    conflict = "(len(ap) > 0 and len(bp) > 0 and len(list_intersect(ap, bp)) = 0) or (len(anum) > 0 and len(bnum) > 0 and len(list_intersect(anum, bnum)) = 0 and ratio.r < 70)"
+    common = f"case when len(list_intersect(ap, bp)) > 0 then {scores[1]} when len(list_intersect(anum, bnum)) > 0 and ts >= 60 then {scores[2]} when ts >= 75 then {scores[3]} end"
+    return f"select s1_id, tgt_id, case when n_hits > 3 then {common} when not ({conflict}) then {scores[0]} end::double as score from hits join ratio on aa = ratio.a and ba = ratio.b join token_set on aa = token_set.a and ba = token_set.b where k = '{key}' and {where}"
+
+
+_HITS = lambda key, least: f"select '{key}' as k, a.entity_id as s1_id, b.entity_id as tgt_id, a.c_name as an, b.c_name as bn, a.c_addr as aa, b.c_addr as ba, a.numbers as anum, b.numbers as bnum, a.postals as ap, b.postals as bp, count(*) over (partition by a.entity_id) as n_hits from norm a join norm b on a.country = b.country and a.{key} = b.{key} where a.src = 'S1' and b.src <> 'S1' and length(a.{key}) >= {least}"
+CASCADE = f"""hits as ({_HITS("c_name", 1)} union all {_HITS("comp_name", 5)}), {oracle.token_sets("select distinct aa as a, ba as b from hits")},
+    casc as (select * from ({_tier("c_name", "true", ("1.0", "0.95", "0.90", "0.85"))} union all {_tier("comp_name", "an <> bn", ("0.98", "0.92", "0.88", "0.82"))}) where score is not null)"""
+
+
+@query("cascade_v2", f"with recursive {oracle.normalised(PARTIES)}, {CASCADE} select s1_id, tgt_id, score from casc")
 def cascade_v2(spark, d):
     s1, tgt = parties(spark, d)
     return blocking.cascade(s1, tgt)
 
 
-@query("cascade_tier2", f"""with {V6}, t1 as (select distinct a.entity_id as s1_id from norm a join norm b on a.country = b.country and a.c_name = b.c_name where a.src = 'S1' and b.src <> 'S1' and a.c_name <> '')
-    select s1_id, tgt_id, score, rank from cand where s1_id not in (select s1_id from t1)""")
+@query("cascade_tier2", f"with recursive {oracle.candidates(PARTIES, PROFILES['v2'])}, {CASCADE} select s1_id, tgt_id, score, rank from cand where s1_id not in (select s1_id from casc)")
 def cascade_tier2(spark, d):
     s1, tgt = parties(spark, d)
     return blocking.second_tier(s1, tgt)
@@ -220,6 +236,12 @@ def sim_token_sort(spark, d):
     return df.select("s1_id", "tgt_id", F.round("s.token_sort", 6).alias("token_sort"))
 
 
+@query("sim_token_set", f"with recursive {PAIRS}, {oracle.token_sets('select distinct an as a, bn as b from pr')} select s1_id, tgt_id, round(ts, 6)::double as token_set from pr join token_set on an = a and bn = b")
+def sim_token_set(spark, d):
+    df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["token_set"]))
+    return df.select("s1_id", "tgt_id", F.round("s.token_set", 6).alias("token_set"))
+
+
 @query("sim_jaro_winkler", f"with {PAIRS} select s1_id, tgt_id, round(jaro_winkler_similarity(an, bn), 6) as jw from pr")
 def sim_jaro_winkler(spark, d):
     df = all_pairs(spark, d).withColumn("s", similarity.similarities(F.col("a_c_name"), F.col("b_c_name"), ["jaro_winkler"]))
@@ -240,6 +262,20 @@ def jaccard_char3(spark, d):
     return all_pairs(spark, d).select("s1_id", "tgt_id", F.round(similarity.jaccard(text.char_ngrams(F.col("a_c_name")), text.char_ngrams(F.col("b_c_name")), 1e-5), 6).alias("jaccard"))
 
 
+_TRIPLES = {"compact": oracle._grams("{0}c", True), "raw": oracle._grams("{0}n", False), "raw_whole": oracle._grams("{0}n", True)}
+_ALIKE = {k: f"case when len({g.format('a')}) > 0 and len({g.format('b')}) > 0 then {_JACCARD(g.format('a'), g.format('b'), '1e-5')} else 0.0 end" for k, g in _TRIPLES.items()}
+
+
+@query("gram_variants", f"with {PAIRS} select s1_id, tgt_id, " + ", ".join(f"round({v}, 6)::double as {k}" for k, v in _ALIKE.items()) + " from pr")
+def gram_variants(spark, d):
+    """The letter triples of the generations, as the 37 features compare them."""
+    out = None
+    for kind in _TRIPLES:
+        each = features.features(all_pairs(spark, d), "p4", grams=kind).select("s1_id", "tgt_id", F.round("name_char_jaccard_3gram", 6).alias(kind))
+        out = each if out is None else out.join(each, ["s1_id", "tgt_id"])
+    return out
+
+
 @query("num_jaccard", f"with {PAIRS} select s1_id, tgt_id, len(list_intersect(anum, bnum))::bigint as common, round({_JACCARD('anum', 'bnum', '0')}, 6)::double as jaccard from pr")
 def num_jaccard(spark, d):
     return all_pairs(spark, d).select("s1_id", "tgt_id", F.size(F.array_intersect("a_numbers", "b_numbers")).cast("long").alias("common"), F.round(similarity.jaccard(F.col("a_numbers"), F.col("b_numbers")), 6).alias("jaccard"))
@@ -407,6 +443,36 @@ _hard("token", "list_filter(name_tokens, lambda t, i: length(t) >= 4 and list_po
 _hard("postal", "postals", 2, 2)
 
 
+@query("mined_pairs", f"""with recursive {PAIRS}, tr as ({TRUTH}), mp as (select s1_id, tgt_id, 0 as rank, true as l from tr union all select s1_id, tgt_id, rank, false from cand where rank <= 10 and (s1_id, tgt_id) not in (select (s1_id, tgt_id) from tr)),
+    mn as (select mp.*, a.c_name as a, b.c_name as b from mp join norm a on a.entity_id = s1_id join norm b on b.entity_id = tgt_id), {oracle.token_sets("select distinct a, b from mn")},
+    ok as (select s1_id, tgt_id, l, row_number() over (partition by s1_id, l order by rank, tgt_id) as n from mn join ratio using (a, b) join token_set using (a, b) where not (ratio.r < 35 and ts < 40 and a <> b))
+    select s1_id, tgt_id, case when l then 1.0 else 0.0 end::double as label from ok where l or n <= 4""")
+def mined_pairs(spark, d):
+    s1, tgt = parties(spark, d)
+    return sampling.mined(blocking.candidates(s1, tgt, PROFILES["stage1"], 10), truth_of(spark, d), s1, tgt, 4)
+
+
+@query("first_postings", f"""{NORM_PARTIES}, tr as ({TRUTH}), tk as (select country, entity_id, src, unnest(list_distinct([t for t in name_tokens if length(t) >= 3])) as t from norm),
+    po as (select country, t, entity_id as tgt_id from tk where src <> 'S1' qualify row_number() over (partition by country, t order by src, entity_id) <= 15),
+    u as (select entity_id as s1_id, tgt_id from tk join po using (country, t) where src = 'S1' union select s1_id, tgt_id from tr)
+    select s1_id, tgt_id, case when (s1_id, tgt_id) in (select (s1_id, tgt_id) from tr) then 1.0 else 0.0 end::double as label from u""")
+def first_postings(spark, d):
+    s1, tgt = parties(spark, d)
+    return sampling.first_postings(s1, tgt, truth_of(spark, d))
+
+
+@query("positives_and_random")
+def positives_and_random(spark, d):
+    s1, tgt = parties(spark, d)
+    return sampling.positives_and_random(truth_of(spark, d), s1, tgt)
+
+
+@query("all_hard_negatives")
+def all_hard_negatives(spark, d):
+    s1, tgt = parties(spark, d)
+    return sampling.all_hard_negatives(s1, tgt, truth_of(spark, d))
+
+
 @query("random_negatives")
 def random_negatives(spark, d):
     s1, tgt = parties(spark, d)

@@ -54,6 +54,26 @@ def write_match_lists(lists: DataFrame, path: str, header: tuple[str, str] = MAT
     out.write.mode("overwrite").option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
 
 
+def write_one_file(lists: DataFrame, path: str, header: tuple[str, str] = MATCHES) -> None:
+    """lists (s1_id, ids) as one TSV file in order of s1_id. The parts are written and sorted by executors; then their bytes
+    follow each other into the file, through a buffer of fixed size."""
+    spark, parts = lists.sparkSession, f"{path}.parts"
+    out = lists.orderBy("s1_id").select(F.col("s1_id").alias(header[0]), F.col("ids").alias(header[1]))
+    out.write.mode("overwrite").option("sep", "\t").option("emptyValue", "").option("nullValue", "").csv(parts)
+    jvm = spark._jvm
+    to, at = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    files = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = files.create(to, True)
+    whole.write(bytearray("\t".join(header) + "\n", "utf-8"))
+    # part files are named in the order of the sort
+    for each in sorted((x.getPath() for x in files.listStatus(at) if x.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+        part = files.open(each)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, whole, 1 << 16, False)
+        part.close()
+    whole.close()
+    files.delete(at, True)
+
+
 def preprocess(df: DataFrame, terms: str = text.ROOT_TERMS) -> DataFrame:
     """df with the derived columns that linking works on."""
     named = df.withColumn("c_name", text.clean_name(F.col("business_name"))).withColumn("c_addr", text.clean_address(F.col("business_address")))
@@ -73,6 +93,28 @@ def write_cache(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("country").parquet(path)
 
 
+def preprocess_all(spark: SparkSession, data_dir: str, path: str, parts: tuple[str, ...] = ("train", "test"), sources: tuple[int, ...] = (1, 2, 3)) -> list[str]:
+    """The caches of all parts, each in a folder of its own, from {part}_source{k}.tsv; missing files are skipped. The
+    parts that were written."""
+    done = []
+    for part in parts:
+        found = []
+        for k in sources:
+            name = f"{data_dir.rstrip('/')}/{part}_source{k}.tsv"
+            at = spark._jvm.org.apache.hadoop.fs.Path(name)
+            if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+                found.append(read_records(spark, name))
+        if found:
+            write_cache(preprocess(targets(*found)), f"{path.rstrip('/')}/{part}")
+            done.append(part)
+    return done
+
+
+def countries(df: DataFrame) -> DataFrame:
+    """The distinct countries."""
+    return df.select("country").distinct()
+
+
 def load_cache(spark: SparkSession, path: str, country: str | None = None) -> tuple[DataFrame, DataFrame]:
     """The S1 records and all others; a country prunes partitions."""
     df = spark.read.parquet(path)
