@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.scratch import Scratch, shared_dir  # noqa: F401
+
 #: Bits of a bitmap: 8 MB, whatever there is in it.
 BITMAP = 26
 
@@ -19,39 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, one in the warehouse, which is shared too."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
-    return where.rstrip("/")
-
-
-class Scratch:
-    """Tables of one operator call in the shared folder. Executors may go: every table is whole on shared storage.
-
-    An operator drops the tables that its result does not read. Those that it does read must outlive the call, as the
-    result is lazy; `sweep` deletes them later."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> DataFrame:
-        """The same rows, read back from a written table."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out.scratch_path = path
-        return out
-
-    def drop(self, *tables: DataFrame | None) -> None:
-        """Delete tables that nothing needs any more."""
-        for df in tables:
-            path = getattr(df, "scratch_path", None)
-            if path:
-                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
 def sweep(spark: SparkSession, hours: float = 24) -> int:
     """Delete the folders of operator calls that began so long ago; how many. For the end of a job, with 0, or a timer."""
     root = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
