@@ -1,4 +1,8 @@
-"""Near copies by exact Jaccard similarity of word shingles: a prefix filter, SimHash, then verification.
+"""Near copies by SimHash and exact Jaccard similarity of word shingles; a prefix filter finds what SimHash does not link.
+
+The SimHash operator links fingerprints of sets within its radius by Golay keys, and the exact similarity verifies. At
+similarity 0.8 more bits differ than its radius has, so all pairs that it has not put into one component are then looked
+for by prefixes.
 
 Texts are sets of shingles of `width` words, those of the SimHash operator (a shorter text is one shingle). If two sets
 of one fixed order of shingles are similar enough, the first shingles of each, as many as may be missing and one more,
@@ -26,7 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, fixed_bitmap, fresh, in_bitmap
+from tessera.llm import simhash
+from tessera.llm.common import Scratch, fixed_bitmap, fresh, in_bitmap, passing
 from tessera.llm.simhash import components, majority, shingle_hashes
 
 WIDTH = 5
@@ -37,16 +42,19 @@ SAMPLE, FREQUENT, MOST = 8, 8, 2_000_000
 FAR, LARGE = 24, 32
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """key, set of each text t, the set sorted; key is a hash of it, 0 without words."""
+def _sets(texts: DataFrame, width: int, sent=None) -> DataFrame:
+    """key, set of each text t, the set sorted; key is a hash of it, 0 without words. sent: a bitmap that the row's h must
+    pass, looked up in the same worker, as a second one for each task would hold the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if sent is not None:
+                b = b.filter(pa.array(passing(sent.value, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
             for i in range(0, b.num_rows, 200):
                 found = [np.unique(shingle_hashes(t.as_py(), width)) for t in b.column(0).slice(i, 200)]
                 yield pa.RecordBatch.from_arrays([pa.array([_key(x) for x in found], pa.int64()), _lists(found)], names=["key", "set"])
 
-    return texts.select("t").mapInArrow(run, "key long, set array<long>")
+    return texts.select("t", *([] if sent is None else ["h"])).mapInArrow(run, "key long, set array<long>")
 
 
 def _key(found: np.ndarray) -> int:
@@ -93,7 +101,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scra
     near = scratch.save(near.select("a", "b"))
     keys = scratch.save(near.select(F.explode(F.array("a", "b")).alias("key")).distinct())
     rows = sketches.select("h", "key").join(keys, "key", "left_semi").select(F.col("h").alias("k"))
-    told = _sets(docs.filter(in_bitmap(F.col("h"), fixed_bitmap(rows))), width)
+    told = _sets(docs, width, fixed_bitmap(rows))
     known = scratch.save(told.join(keys, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
     left, right = (known.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = near.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("m"), (F.size("set_a") + F.size("set_b")).alias("n"))
@@ -102,9 +110,25 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scra
     return out
 
 
+def by_fingerprint(docs: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
+    """a, b: pairs of sets that the SimHash operator links (equal fingerprints, or within its radius by Golay keys) and
+    that are similar enough. Of sets with one fingerprint all meet the smallest key, which stands for them."""
+    groups = scratch.save(sketches.groupBy("fp").agg(F.min("key").alias("a")))
+    same = sketches.select("fp", "key").join(groups, "fp").filter("key <> a").select("a", F.col("key").alias("b"))
+    x, y = groups.toDF("x", "a"), groups.toDF("y", "b")
+    near = simhash.links(groups.select("fp")).toDF("x", "y").join(x, "x").join(y, "y").select("a", "b")
+    pairs = same.unionByName(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = scratch.save(pairs.distinct())
+    out = _alike(pairs, docs, sketches, scratch, similarity, width)
+    scratch.drop(groups, pairs)
+    return out
+
+
 def links(docs: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """a, b: of all pairs of sets that are similar enough, so many that their components are the same."""
     # equal sets fall together in the same exchange that makes the buckets
+    printed = by_fingerprint(docs, sketches, scratch, similarity, width)
+    known = scratch.save(components(printed, scratch)).select(F.col("node").alias("known_node"), F.col("root").alias("known_root"))
     rows = sketches.select("key", "n", F.posexplode("prefix").alias("at", "s")).repartition("s").dropDuplicates(["s", "key"])
     bucket = Window.partitionBy("s")
     met = rows.withColumn("first", F.min(F.struct("key", "n", "at")).over(bucket)).withColumn("c", F.count("*").over(bucket)).filter("c > 1").drop("c")
@@ -116,8 +140,12 @@ def links(docs: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: fl
         return (F.least(n, other_n) >= similarity * F.greatest(n, other_n) - 1e-6) & (most >= similarity / (1 + similarity) * (n + other_n) - 1e-6)
 
     tried = met.filter((F.col("key") != F.col("first.key")) & possible(F.col("n"), F.col("at"), F.col("first.n"), F.col("first.at")))
-    tried = scratch.save(tried.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct())
-    found = _alike(tried, docs, sketches, scratch, similarity, width)
+    tried = tried.select(F.col("first.key").alias("a"), F.col("key").alias("b")).distinct()
+    # what the fingerprints have linked need not be tried again
+    tried = tried.join(known, F.col("a") == F.col("known_node"), "left").withColumn("at_a", F.coalesce("known_root", "a")).drop("known_node", "known_root")
+    tried = tried.join(known, F.col("b") == F.col("known_node"), "left").filter(F.col("at_a") != F.coalesce("known_root", "b"))
+    tried = scratch.save(tried.select("a", "b"))
+    found = printed.unionByName(_alike(tried, docs, sketches, scratch, similarity, width)).distinct()
     roots = scratch.save(components(found, scratch))
     marked = met.join(roots, met["key"] == roots["node"], "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     # buckets of one component have nothing left to tell
