@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, fresh
+from tessera.llm.common import Scratch, apart, fresh
 
 #: Bits of the segments, and where each begins.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -139,7 +139,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     assert 0 <= radius <= RADIUS
     index = _keyed(fps, False).select("key", F.col("fp").alias("a"))
     probe = _keyed(fps, True).select("key", F.col("fp").alias("b"))
-    found = index.join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
+    found = apart(index).join(probe, (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -154,10 +154,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         # large star: each node hands its larger neighbours to the least node around it
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(apart(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         # small star: each node hands its smaller neighbours, and itself, to the least of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        small = large.join(apart(low), "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         new = scratch.save(small)
         state = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now)
@@ -172,16 +172,16 @@ def near_duplicates(df: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     scratch = Scratch(df.sparkSession, "simhash")
     docs = scratch.save(df.select(F.col(doc_id).alias("doc_id"), with_fingerprint(F.col(text), width).alias("fp")))
     roots = fingerprint_components(docs, scratch, radius)
-    return docs.join(roots, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return docs.join(apart(roots), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def fingerprint_components(docs: DataFrame, scratch: Scratch, radius: int = RADIUS) -> DataFrame:
     """fp, component_id: the smallest doc_id reachable from each fingerprint of docs (doc_id, fp)."""
     groups = scratch.save(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(groups.select("fp"), radius), scratch)
-    marked = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    marked = groups.join(apart(roots), groups["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = marked.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(least, "root").select("fp", "component_id")
+    return marked.join(apart(least), "root").select("fp", "component_id")
 
 
 def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius: int = RADIUS, width: int = 3) -> DataFrame:
@@ -191,9 +191,9 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", radius:
     docs = scratch.save(df.select(F.col(doc_id).alias("doc_id"), row.alias("h"), with_fingerprint(F.col(text), width).alias("fp")))
     groups = scratch.save(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(links(groups.select("fp"), radius), scratch)
-    marked = groups.join(roots, groups["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    marked = groups.join(apart(roots), groups["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
     # the winner of a component is an aggregate over (id, row's hash), which combines before it is shuffled
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h")
     won_id, won_row = fresh(df, "won_id", "won_row")
-    won = docs.join(marked, "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias(won_id), F.col("o.h").alias(won_row))
-    return df.join(won, F.col(doc_id).eqNullSafe(F.col(won_id)) & (row == F.col(won_row)), "left_semi")
+    won = docs.join(apart(marked), "fp").groupBy("root").agg(F.min(order).alias("o")).select(F.col("o.doc_id").alias(won_id), F.col("o.h").alias(won_row))
+    return df.join(apart(won), F.col(doc_id).eqNullSafe(F.col(won_id)) & (row == F.col(won_row)), "left_semi")
