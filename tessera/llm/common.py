@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources.scratch import Scratch, shared_dir  # noqa: F401
+from tessera.sources.scratch import Scratch, apart, shared_dir  # noqa: F401
 
 #: Bits of a bitmap: 8 MB, whatever there is in it.
 BITMAP = 26
@@ -30,12 +30,6 @@ def sweep(spark: SparkSession, hours: float = 24) -> int:
     return len(old)
 
 
-def apart(df: DataFrame) -> DataFrame:
-    """df, whose join is a merge join: tables that grow with the input are never sent through the driver, whatever sizes
-    Spark takes for small."""
-    return df.hint("merge")
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Working column names that clash with none of df's."""
     taken, out = {c.lower() for c in df.columns}, []
