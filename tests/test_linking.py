@@ -1,4 +1,5 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -195,3 +196,13 @@ def test_a_repeated_header_is_reported(spark, tmp_path):
     (tmp_path / "m").write_text("\t".join(records.MATCHES) + "\nS1-1\tS2-1\n")
     assert validate.validate_files(spark, f"{tmp_path}/m", f"{tmp_path}/c", required)[0] == 0
     assert validate.validate_files(spark, f"{tmp_path}/none", f"{tmp_path}/c", required) == (1, None)
+
+
+def test_long_texts_are_folded_in_time_of_their_length(spark):
+    # every sign used to be held against hundreds of single ones
+    once = "plain words, café, ﬁn… 株式 ½ 𝐀 " + "and so on " * 30
+    want = "plain words, cafe, fin...  12 A " + "and so on " * 30
+    column(spark, [once], text.fold)
+    began = time.monotonic()
+    assert column(spark, [once * 6000, "plain " * 300_000], text.fold) == [want * 6000, "plain " * 300_000]
+    assert time.monotonic() - began < 10
