@@ -40,10 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_tokens, and whether decoding gives the text's bytes back."""
-    bpe = queries.tokenizer(spark)
-    ids = bpe.encode(docs.select("doc_id", "text"))
-    same = bpe.decode(F.col("ids")) == F.coalesce("text", F.lit("")).cast("binary")
-    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
+    ids = queries.tokenizer(spark).encode(docs.select("doc_id", "text"), same="round_trip")
+    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "round_trip")
 
 
 STAGES = [

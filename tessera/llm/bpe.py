@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import kept
+
 #: No merge.
 NONE = np.int32(2**31 - 1)
 #: Bytes of a piece from which the heap is used.
@@ -288,17 +290,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-_ready: dict[str, Encoder] = {}
-
-
 def _encoder(sent, pattern: str) -> Encoder:
     """One for each worker; the ranks come by broadcast, so no executor needs the file."""
     digest, ranks = sent.value
-    key = digest + pattern
-    if key not in _ready:
-        _ready.clear()
-        _ready[key] = Encoder(ranks, pattern)
-    return _ready[key]
+    return kept(f"bpe {digest}{pattern}", lambda: Encoder(ranks, pattern))
 
 
 def _runs(texts: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
@@ -311,6 +306,12 @@ def _runs(texts: pa.Array, chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
         i = j
 
 
+def _gives_back(texts: pa.Array, raw: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Whether the bytes of each text, none of a null one, are those decoded."""
+    decoded = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+    return pc.equal(pc.fill_null(texts.cast(pa.binary()), b""), decoded)
+
+
 class Bpe:
     """A tokenizer over columns. path: a file of base64 tokens and ranks; pattern: what cuts texts into pieces."""
 
@@ -318,11 +319,16 @@ class Bpe:
         ranks = read_ranks(path)
         self.pattern, self.sent = pattern, spark.sparkContext.broadcast((hashlib.sha256(repr(sorted(ranks.items())).encode()).hexdigest(), ranks))
 
-    def encode(self, df: DataFrame, text: str = "text", out: str = "ids") -> DataFrame:
-        """df with the ids of each text, array<int>, in place of any column `out`."""
+    def encode(self, df: DataFrame, text: str = "text", out: str = "ids", same: str | None = None) -> DataFrame:
+        """df with the ids of each text, array<int>, in place of any column `out`. same: a column for whether decoding
+        gives the text's bytes back, told by the worker that has encoded; decode() takes a second worker for each task,
+        with tables of its own."""
+        if same in (text, out):
+            raise ValueError(f"{same} is a column that is read or made")
         sent, pattern = self.sent, self.pattern
-        base = df.drop(out) if out != text else df
-        schema = T.StructType([f for f in base.schema if f.name != out] + [T.StructField(out, T.ArrayType(T.IntegerType(), False), False)])
+        base = df.drop(*{out, same} - {text, None})
+        made = [T.StructField(out, T.ArrayType(T.IntegerType(), False), False), *([] if same is None else [T.StructField(same, T.BooleanType(), False)])]
+        schema = T.StructType([f for f in base.schema if f.name != out] + made)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = _encoder(sent, pattern)
@@ -330,8 +336,10 @@ class Bpe:
                 texts = b.column(text)
                 for i, j in _runs(texts):
                     ids, offsets = e.encode(texts.slice(i, j - i).to_pylist())
-                    rest, column = b, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-                    yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, column], names=[*rest.schema.names, out])
+                    rest, columns = b, [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))]
+                    if same is not None:
+                        columns.append(_gives_back(texts.slice(i, j - i), *e.decode(ids, offsets)))
+                    yield pa.RecordBatch.from_arrays([*rest.slice(i, j - i).columns, *columns], names=[*rest.schema.names, *(f.name for f in made)])
 
         return base.mapInArrow(run, schema)
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +44,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: By name, what this Python worker keeps, and the task that asked for it last.
+_kept: dict[str, tuple[int | None, Any]] = {}
+
+
+def kept(name: str, make: Callable[[], Any]) -> Any:
+    """What make() gave in this Python worker, kept from task to task."""
+    task = forget(name)
+    _kept[name] = task, _kept[name][1] if name in _kept else make()
+    return _kept[name][1]
+
+
+def forget(but: str = "") -> int | None:
+    """Drop what other tasks have kept in this worker, but for one name; the task under way. Workers outlive operators and
+    their memory is the executor's, so each holds the tables of one operator, not of all that ran before it."""
+    at = TaskContext.get()
+    task = at.taskAttemptId() if at else None
+    old = [name for name, (last, _) in _kept.items() if last != task and name != but]
+    for name in old:
+        del _kept[name]
+    if old:
+        pa.default_memory_pool().release_unused()
+    return task
+
+
 def fixed_bitmap(keys: DataFrame):
     """Broadcast: the low bits of the longs `k`, 2^20 words of 64 bits whatever there are. Rows that pass it may be more
     than those in it, never fewer; whoever uses it decides the rest exactly."""

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import Scratch, fresh
+from tessera.llm.common import Scratch, forget, fresh
 
 #: Words of a run of repeated units from which it goes.
 MIN_WORDS = 30
@@ -81,6 +81,7 @@ def _digests(docs: DataFrame, cut: str) -> DataFrame:
     """doc_id, h, d, again: the digests of each text (doc_id, h, t), and whether it has them more than once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         pattern = re.compile(cut)
         for b in batches:
             rows: list[int] = []
@@ -134,6 +135,7 @@ def dedup(df: DataFrame, text: str = "text", doc_id: str = "doc_id", cut: str =
 
     @F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("spans", SPANS, False)]))
     def removed(texts: pa.Array, wholly: pa.Array, partly: pa.Array) -> pa.Array:
+        forget()
         pattern = re.compile(cut)
         kept, gone = [], []
         for t, w, p in zip(texts, wholly, partly, strict=True):

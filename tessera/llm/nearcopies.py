@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import simhash
-from tessera.llm.common import Scratch, fixed_bitmap, fresh, in_bitmap, passing
+from tessera.llm.common import Scratch, fixed_bitmap, forget, fresh, in_bitmap, passing
 from tessera.llm.simhash import components, majority, shingle_hashes
 
 WIDTH = 5
@@ -47,6 +47,7 @@ def _sets(texts: DataFrame, width: int, sent=None) -> DataFrame:
     pass, looked up in the same worker, as a second one for each task would hold the texts again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in batches:
             if sent is not None:
                 b = b.filter(pa.array(passing(sent.value, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64))))
@@ -70,6 +71,7 @@ def _sketches(docs: DataFrame, frequent, similarity: float, width: int) -> DataF
     """doc_id, h and of each text t: key, n (the size of its set), fp, and the prefix of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         often = frequent.value
         for b in batches:
             for i in range(0, b.num_rows, 200):

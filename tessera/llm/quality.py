@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import forget, kept
+
 BITS = 18
 #: Labelled documents that are learnt from at most: the first by a hash of their ids.
 SAMPLE = 4000
@@ -122,6 +124,7 @@ def model(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     rows = texts.select("i", "h").join(rows, "i").distinct().orderBy(F.xxhash64("i"), "i", "h", "y").limit(sample)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         known = Words()
         for b in batches:
             for t, y in zip(b.column(0), b.column(1), strict=True):
@@ -135,15 +138,13 @@ def model(df: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     return train([(np.frombuffer(r.at, np.int32).astype(np.int64), np.frombuffer(r.x, np.float32), r.y) for r in got])
 
 
-_known = Words()
-
-
 def scored(df: DataFrame, weights: np.ndarray, text: str = "text") -> Column:
     """The score of df's texts, from 0 to 1: higher where label 1 is likelier."""
     sent = df.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     @F.arrow_udf(T.DoubleType())
     def made(texts: pa.Array) -> pa.Array:
-        return pa.array([score(t.as_py(), sent.value, _known) for t in texts], pa.float64())
+        known = kept("words", Words)
+        return pa.array([score(t.as_py(), sent.value, known) for t in texts], pa.float64())
 
     return made(F.col(text))
