@@ -12,7 +12,9 @@ each other by SimHash: at similarity 0.8 some 10 of 64 bits differ, with a devia
 on (0.8 misses that in about two of a million). The exact similarity of the shingles verifies.
 
 Sets that are equal are one. In each bucket of a shingle all first meet its smallest member; what that links is one
-component, and only pairs whose components differ still are tried after it. A large group of near copies then costs its
+component, and only pairs whose components differ still are tried after it. In crowded buckets they are tried by what
+they do not share with a pivot, a member that is met often (`_by_pivot`): the members of a large group whose edits differ
+are apart by more than the threshold, and no prefix of theirs tells so. A large group of near copies then costs about its
 size, not its square. Sets are not kept: those of texts that are in pairs are made again, found by a bitmap of fixed size.
 
 Null texts count as empty; all texts without words are copies of each other. Null ids rank last. An empty table gives an
@@ -40,6 +42,8 @@ SIMILARITY = 0.8
 SAMPLE, FREQUENT, MOST = 8, 8, 2_000_000
 #: Bits of the fingerprints of sets of `LARGE` shingles or more that may differ.
 FAR, LARGE = 24, 32
+#: Members from which a bucket elects a pivot. It sets the way only, not what is found.
+CROWD = 32
 
 
 def _sets(texts: DataFrame, width: int, sent=None) -> DataFrame:
@@ -102,9 +106,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scra
     near = pairs.join(left, "a").join(right, "b").filter((F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR) | (F.greatest("n_a", "n_b") < LARGE))
     near = scratch.save(near.select("a", "b"))
     keys = scratch.save(near.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    rows = sketches.select("h", "key").join(keys, "key", "left_semi").select(F.col("h").alias("k"))
-    told = _sets(docs, width, fixed_bitmap(rows))
-    known = scratch.save(told.join(keys, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
+    known = _known(keys, docs, sketches, scratch, width)
     left, right = (known.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = near.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("m"), (F.size("set_a") + F.size("set_b")).alias("n"))
     out = scratch.save(both.filter(F.col("m") / (F.col("n") - F.col("m")) >= similarity).select("a", "b"))
@@ -112,6 +114,63 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scra
     return out
 
 
+def _known(keys: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """key, set of the keys, made again from texts."""
+    rows = sketches.select("h", "key").join(keys, "key", "left_semi").select(F.col("h").alias("k"))
+    told = _sets(docs, width, fixed_bitmap(rows))
+    return scratch.save(told.join(keys, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
+
+
+def _by_pivot(crowds: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of buckets (s, key, root, c members): the links (a, b) of keys with their pivots; the pairs (a, b) of keys with one
+    pivot that may be similar enough; and key, pivot of those whose pairs are all among these.
+
+    Let D be what a set and its pivot do not share. Two sets differ by |D1| + |D2| - 2 |D1 and D2|, and by at most
+    r (n1 + n2) if they are similar enough, r = (1 - similarity) / (1 + similarity). If both are linked with the pivot, that
+    is one component already. Otherwise their Ds must overlap by more than nothing, and where one differs much from the
+    pivot, by most of them: so prefixes of the Ds meet, what the pivot does not hold before what it does."""
+    r, near = (1 - similarity) / (1 + similarity), 1e-6
+    often = crowds.groupBy("key").agg(F.sum("c").alias("met"))
+    elected = crowds.join(often, "key").groupBy("s").agg(F.max(F.struct("met", "key")).alias("best"))
+    pivots = crowds.join(elected, "s").groupBy("key").agg(F.first("root").alias("root"), F.max("best").alias("best"))
+    pivots = scratch.save(pivots.select("key", "root", F.col("best.key").alias("pivot")))
+    keys = scratch.save(pivots.select("key").unionByName(pivots.select(F.col("pivot").alias("key"))).distinct())
+    known = _known(keys, docs, sketches, scratch, width)
+
+    def apart_from(pivots: DataFrame) -> DataFrame:
+        both = pivots.join(known, "key").join(known.toDF("pivot", "held"), "pivot")
+        both = both.select("key", "root", "pivot", F.size("set").alias("n"), F.size("held").alias("p"), F.array_sort(F.array_except("set", "held")).alias("more"), F.array_sort(F.array_except("held", "set")).alias("less"))
+        return both.withColumn("d", F.size("more") + F.size("less")).withColumn("m", F.col("n") - F.size("more"))
+
+    # far from the pivot, the order of D is no better than any
+    fit = F.col("d") * 2 <= F.col("n") + F.col("p")
+    # a pivot's own edits are in the Ds of all: the member that has least of what most hold against the pivot takes its place
+    first = scratch.save(apart_from(pivots).filter(fit).select("key", "pivot", F.concat("more", "less").alias("own")))
+    many = first.groupBy("pivot").agg(F.count("*").alias("members"))
+    held = first.select("pivot", F.explode("own").alias("e")).groupBy("pivot", "e").agg(F.count("*").alias("c")).join(many, "pivot").filter(F.col("c") * 2 > F.col("members"))
+    against = first.join(held.groupBy("pivot").agg(F.collect_list("e").alias("all")), "pivot", "left").withColumn("all", F.coalesce("all", F.array().cast("array<long>")))
+    off = F.size("own") + F.size("all") - 2 * F.size(F.array_intersect("own", "all"))
+    middle = against.groupBy("pivot").agg(F.min(F.struct(off.alias("off"), "key")).alias("middle"))
+    both = apart_from(pivots.join(middle, "pivot").select("key", "root", F.col("middle.key").alias("pivot")))
+    both = both.withColumn("alike", F.col("m") / (F.col("n") + F.col("p") - F.col("m")) >= similarity)
+    # how many of D another must hold at least: it differs from the pivot by over r (p + n) if this one does not
+    most = r * (F.col("n") + F.col("n") / similarity)
+    least = F.when(F.col("alike"), (F.col("d") + r * (F.col("p") - F.col("n"))) / 2).otherwise(F.greatest((F.col("d") - most) / 2, F.col("d") - most, F.lit(1.0)))
+    few = F.greatest(F.lit(0), F.least(F.col("d"), F.floor(F.col("d") - least + 1 + near).cast("int")))
+    told = scratch.save(both.select("key", "root", "pivot", "n", "d", "alike", fit.alias("fit"), F.when(fit, F.slice(F.concat("more", "less"), F.lit(1), few)).alias("prefix")))
+    links = told.filter("alike and key <> pivot").select(F.least("key", "pivot").alias("a"), F.greatest("key", "pivot").alias("b"))
+    index = told.filter("fit and key <> pivot").select("key", "root", "pivot", "n", "d", "alike", F.posexplode("prefix").alias("at", "e"))
+    x, y = index.filter("not alike").alias("x"), index.alias("y")
+    apart = (F.col("x.root") != F.col("y.root")) & (F.col("y.alike") | (F.col("x.key") < F.col("y.key")))
+    overlap = F.least(F.col("x.d") - F.col("x.at"), F.col("y.d") - F.col("y.at"))
+    enough = 2 * overlap >= F.col("x.d") + F.col("y.d") - r * (F.col("x.n") + F.col("y.n")) - near
+    alike_sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - near
+    pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & apart & enough & alike_sizes)
+    pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
+    scratch.drop(pivots, keys, known, first)
+    return links, pairs, told.filter("fit").select("key", "pivot")
+
+
 def by_fingerprint(docs: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: float = SIMILARITY, width: int = WIDTH) -> DataFrame:
     """a, b: pairs of sets that the SimHash operator links (equal fingerprints, or within its radius by Golay keys) and
     that are similar enough. Of sets with one fingerprint all meet the smallest key, which stands for them."""
@@ -151,11 +210,17 @@ def links(docs: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: fl
     roots = scratch.save(components(found, scratch))
     marked = met.join(roots, met["key"] == roots["node"], "left").select("s", "key", "n", "at", F.coalesce("root", "key").alias("root"))
     # buckets of one component have nothing left to tell
-    apart = marked.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).filter("low <> high").select("s", "key", "n", "at", "root")
+    apart = marked.withColumn("low", F.min("root").over(bucket)).withColumn("high", F.max("root").over(bucket)).withColumn("c", F.count("*").over(bucket)).filter("low <> high").select("s", "key", "n", "at", "root", "c")
     apart = scratch.save(apart)
+    found_too, pairs, pivots = _by_pivot(apart.filter(F.col("c") >= CROWD), docs, sketches, scratch, similarity, width)
+    found = found.unionByName(found_too)
+    apart = apart.join(pivots, "key", "left")
     x, y = apart.alias("x"), apart.alias("y")
-    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
-    rest = scratch.save(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    # pairs of one pivot are told by it
+    other = F.coalesce(F.col("x.pivot") != F.col("y.pivot"), F.lit(True))
+    rest = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.key") < F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & other & possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at")))
+    rest = rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).unionByName(pairs)
+    rest = scratch.save(rest.distinct().join(tried, ["a", "b"], "left_anti"))
     scratch.drop(met, tried)
     return found.unionByName(_alike(rest, docs, sketches, scratch, similarity, width))
 

@@ -56,3 +56,22 @@ def test_order_of_shingles_changes_nothing(spark, monkeypatch):
     monkeypatch.setattr(nearcopies, "FREQUENT", 3)
     data = corpus()
     assert sorted(r.doc_id for r in nearcopies.keep_one(docs(spark, data)).collect()) == brute(data)
+
+
+def test_edits_of_one_text_are_not_held_against_each_other(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    base = [f"b{i}" for i in range(150)]
+    data = [(0, " ".join(base))]
+    for k in range(1, 161):
+        words = list(base)
+        # some are near copies of the base, most of the others of nothing
+        for place in rng.choice(150, int(rng.integers(1, 6)), replace=False):
+            words[place] = f"e{k}x{place}" if k % 8 else f"e{k // 16}x{place}"
+        data.append((k, " ".join(words)))
+    asked = []
+    alike = nearcopies._alike
+    monkeypatch.setattr(nearcopies, "_alike", lambda pairs, *a: asked.append(pairs.count()) or alike(pairs, *a))
+    want = brute(data)
+    assert 40 < len(want) < 140
+    assert sorted(r.doc_id for r in nearcopies.keep_one(docs(spark, data)).collect()) == want
+    assert sum(asked) < 5 * len(data)
