@@ -32,6 +32,9 @@ BITS = 32
 SURE = 0.97
 #: Rows of a block of the index, and of one of queries, at most (on average); and queries that are searched together.
 ROWS, QUERIES, TOGETHER = 16384, 8192, 512
+#: Where a query comes to see one row in so many at once, the products of the block and all queries searched with it are
+#: made together; which rows count is the ascent's to say.
+MANY = 8
 #: What rounding may do to a product, as a share of the largest there can be.
 SLACK = 1e-12
 
@@ -65,32 +68,55 @@ class Forest:
                 first = codes[t] >> (BITS - x) << (BITS - x)
                 low[t, x] = np.searchsorted(self.codes[t], first)
                 high[t, x] = np.searchsorted(self.codes[t], first + (np.int64(1) << (BITS - x)))
-        total = (high - low).sum(0)
+        low, high = (np.ascontiguousarray(ends.transpose(2, 1, 0)) for ends in (low, high))
+        total = (high - low).sum(2)
         norms = np.sqrt((queries * queries).sum(1))
+        products = None
         for i, q in enumerate(queries):
             seen = np.zeros(len(self.x), bool)
             rows, scores, worst = np.empty(0, np.int64), np.empty(0), -np.inf
-            deepest = np.flatnonzero(total[:, i] >= k)
+            deepest = np.flatnonzero(total[i] >= k)
             x = int(deepest[-1]) if len(deepest) else 0
             slack = SLACK * norms[i] * self.most * len(q)
+            # the part of each tree's run that has been met
+            begun = ended = low[i, x]
+            share = 0.0
             while True:
-                met = np.concatenate([o[a:b] for o, a, b in zip(self.order, low[:, x, i].tolist(), high[:, x, i].tolist(), strict=True)]) if x else np.flatnonzero(~seen)
-                fresh = np.unique(met[~seen[met]])
-                seen[fresh] = True
-                near = self.x[fresh] @ q
-                rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, near])
-                if len(rows) > k:
-                    worst = np.partition(scores, len(scores) - k)[len(scores) - k]
-                    best = scores >= worst - slack
-                    rows, scores = rows[best], scores[best]
-                elif len(rows) == k:
-                    worst = scores.min()
+                now = seen
                 if x == 0:
+                    now = np.ones(len(self.x), bool)
+                else:
+                    start, end = low[i, x], high[i, x]
+                    grown = np.flatnonzero((start < begun) | (ended < end))
+                    if len(grown):
+                        now = seen.copy()
+                        for t, a, b, c, d in zip(grown.tolist(), start[grown].tolist(), begun[grown].tolist(), ended[grown].tolist(), end[grown].tolist(), strict=True):
+                            if a < b:
+                                now[self.order[t, a:b]] = True
+                            if c < d:
+                                now[self.order[t, c:d]] = True
+                    begun, ended = start, end
+                if now is not seen:
+                    fresh = np.flatnonzero(now ^ seen)
+                    seen = now
+                    if len(fresh) * MANY > len(self.x) and products is None:
+                        products = queries @ self.x.T
+                    near = self.x[fresh] @ q if products is None else products[i, fresh]
+                    if len(rows) >= k:
+                        # what is under the worst of them changes nothing
+                        better = near >= worst - slack
+                        fresh, near = fresh[better], near[better]
+                    rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, near])
+                    if len(rows) > k:
+                        worst = np.partition(scores, len(scores) - k)[len(scores) - k]
+                        best = scores >= worst - slack
+                        rows, scores = rows[best], scores[best]
+                    elif len(rows) == k:
+                        worst = scores.min()
+                    if len(rows) >= k:
+                        share = 1 - np.arccos(min(max(worst / (norms[i] * self.most), -1), 1)) / np.pi
+                if x == 0 or len(rows) >= k and 1 - (1 - share**x) ** TREES >= SURE:
                     break
-                if len(rows) >= k:
-                    share = 1 - np.arccos(np.clip(worst / (norms[i] * self.most), -1, 1)) / np.pi
-                    if 1 - (1 - share**x) ** TREES >= SURE:
-                        break
                 x -= 1
             yield rows, int(seen.sum())
 
