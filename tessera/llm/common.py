@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.sources.scratch import Scratch, apart, shared_dir  # noqa: F401
+from tessera.sources.scratch import Scratch, apart, released, shared_dir  # noqa: F401
 
 #: Bits of a bitmap: 8 MB, whatever there is in it.
 BITMAP = 26
@@ -72,7 +72,8 @@ def fixed_bitmap(keys: DataFrame):
     """Broadcast: the low bits of the longs `k`, 2^20 words of 64 bits whatever there are. Rows that pass it may be more
     than those in it, never fewer; whoever uses it decides the rest exactly."""
     bit = F.col("k").bitwiseAND((1 << BITMAP) - 1)
-    words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((k & {(1 << BITMAP) - 1}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
+    with released(keys.sparkSession):
+        words = keys.select(F.shiftright(bit, 6).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast((k & {(1 << BITMAP) - 1}) & 63 as int))").alias("m")).groupBy("w").agg(F.bit_or("m").alias("m")).toArrow()
     out = np.zeros(1 << BITMAP - 6, np.uint64)
     out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
     return keys.sparkSession.sparkContext.broadcast(out)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import simhash
-from tessera.llm.common import Scratch, fixed_bitmap, forget, fresh, in_bitmap, passing
+from tessera.llm.common import Scratch, fixed_bitmap, forget, fresh, in_bitmap, passing, released
 from tessera.llm.simhash import components, majority, shingle_hashes
 
 WIDTH = 5
@@ -106,7 +106,7 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scra
     near = pairs.join(left, "a").join(right, "b").filter((F.bit_count(F.col("fp_a").bitwiseXOR(F.col("fp_b"))) <= FAR) | (F.greatest("n_a", "n_b") < LARGE))
     near = scratch.save(near.select("a", "b"))
     keys = scratch.save(near.select(F.explode(F.array("a", "b")).alias("key")).distinct())
-    known = _known(keys, docs, sketches, scratch, width)
+    known = scratch.save(_known(keys, docs, sketches, width))
     left, right = (known.select(F.col("key").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
     both = near.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("set_a", "set_b")).alias("m"), (F.size("set_a") + F.size("set_b")).alias("n"))
     out = scratch.save(both.filter(F.col("m") / (F.col("n") - F.col("m")) >= similarity).select("a", "b"))
@@ -114,11 +114,12 @@ def _alike(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scra
     return out
 
 
-def _known(keys: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+def _known(keys: DataFrame, docs: DataFrame, sketches: DataFrame, width: int) -> DataFrame:
     """key, set of the keys, made again from texts."""
+    keys = keys.select("key")
     rows = sketches.select("h", "key").join(keys, "key", "left_semi").select(F.col("h").alias("k"))
     told = _sets(docs, width, fixed_bitmap(rows))
-    return scratch.save(told.join(keys, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set")))
+    return told.join(keys, "key", "left_semi").groupBy("key").agg(F.first("set").alias("set"))
 
 
 def _by_pivot(crowds: DataFrame, docs: DataFrame, sketches: DataFrame, scratch: Scratch, similarity: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -134,24 +135,29 @@ def _by_pivot(crowds: DataFrame, docs: DataFrame, sketches: DataFrame, scratch:
     elected = crowds.join(often, "key").groupBy("s").agg(F.max(F.struct("met", "key")).alias("best"))
     pivots = crowds.join(elected, "s").groupBy("key").agg(F.first("root").alias("root"), F.max("best").alias("best"))
     pivots = scratch.save(pivots.select("key", "root", F.col("best.key").alias("pivot")))
-    keys = scratch.save(pivots.select("key").unionByName(pivots.select(F.col("pivot").alias("key"))).distinct())
-    known = _known(keys, docs, sketches, scratch, width)
-
-    def apart_from(pivots: DataFrame) -> DataFrame:
-        both = pivots.join(known, "key").join(known.toDF("pivot", "held"), "pivot")
-        both = both.select("key", "root", "pivot", F.size("set").alias("n"), F.size("held").alias("p"), F.array_sort(F.array_except("set", "held")).alias("more"), F.array_sort(F.array_except("held", "set")).alias("less"))
+    # each is in a crowd and has a pivot itself; what sends sets is most of the work, so they go once for each comparison
+    known = scratch.save(_known(pivots, docs, sketches, width).join(pivots, "key"))
+
+    def against(groups: DataFrame) -> DataFrame:
+        """The members of the groups (pivot, chosen), held against the one chosen."""
+        picked = groups.select(F.col("chosen").alias("key")).distinct()
+        held = known.select("key", "set").filter(in_bitmap(F.col("key"), fixed_bitmap(picked.select(F.col("key").alias("k"))))).join(picked, "key", "left_semi")
+        held = groups.join(held.toDF("chosen", "held"), "chosen")
+        members = known.filter(in_bitmap(F.col("pivot"), fixed_bitmap(groups.select(F.col("pivot").alias("k")))))
+        both = members.join(held, "pivot")
+        both = both.select("key", "root", "pivot", "chosen", F.size("set").alias("n"), F.size("held").alias("p"), F.array_sort(F.array_except("set", "held")).alias("more"), F.array_sort(F.array_except("held", "set")).alias("less"))
         return both.withColumn("d", F.size("more") + F.size("less")).withColumn("m", F.col("n") - F.size("more"))
 
     # far from the pivot, the order of D is no better than any
     fit = F.col("d") * 2 <= F.col("n") + F.col("p")
     # a pivot's own edits are in the Ds of all: the member that has least of what most hold against the pivot takes its place
-    first = scratch.save(apart_from(pivots).filter(fit).select("key", "pivot", F.concat("more", "less").alias("own")))
+    first = scratch.save(against(pivots.select("pivot", F.col("pivot").alias("chosen")).distinct()).filter(fit).select("key", "pivot", F.concat("more", "less").alias("own")))
     many = first.groupBy("pivot").agg(F.count("*").alias("members"))
     held = first.select("pivot", F.explode("own").alias("e")).groupBy("pivot", "e").agg(F.count("*").alias("c")).join(many, "pivot").filter(F.col("c") * 2 > F.col("members"))
-    against = first.join(held.groupBy("pivot").agg(F.collect_list("e").alias("all")), "pivot", "left").withColumn("all", F.coalesce("all", F.array().cast("array<long>")))
+    compared = first.join(held.groupBy("pivot").agg(F.collect_list("e").alias("all")), "pivot", "left").withColumn("all", F.coalesce("all", F.array().cast("array<long>")))
     off = F.size("own") + F.size("all") - 2 * F.size(F.array_intersect("own", "all"))
-    middle = against.groupBy("pivot").agg(F.min(F.struct(off.alias("off"), "key")).alias("middle"))
-    both = apart_from(pivots.join(middle, "pivot").select("key", "root", F.col("middle.key").alias("pivot")))
+    middle = scratch.save(compared.groupBy("pivot").agg(F.min(F.struct(off.alias("off"), "key")).alias("middle")).select("pivot", F.col("middle.key").alias("chosen")))
+    both = against(middle).drop("pivot").withColumnRenamed("chosen", "pivot")
     both = both.withColumn("alike", F.col("m") / (F.col("n") + F.col("p") - F.col("m")) >= similarity)
     # how many of D another must hold at least: it differs from the pivot by over r (p + n) if this one does not
     most = r * (F.col("n") + F.col("n") / similarity)
@@ -167,7 +173,7 @@ def _by_pivot(crowds: DataFrame, docs: DataFrame, sketches: DataFrame, scratch:
     alike_sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - near
     pairs = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.e") == F.col("y.e")) & apart & enough & alike_sizes)
     pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).distinct()
-    scratch.drop(pivots, keys, known, first)
+    scratch.drop(pivots, known, first, middle)
     return links, pairs, told.filter("fit").select("key", "pivot")
 
 
@@ -234,7 +240,8 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id", similari
     sample = _sets(docs.filter(F.pmod(F.xxhash64("t"), F.lit(SAMPLE)) == 0), width)
     often = sample.select(F.explode("set").alias("s")).groupBy("s").agg(F.count("*").alias("c")).filter(F.col("c") >= FREQUENT)
     # MOST longs at the most
-    frequent = np.sort(np.array([r.s for r in often.orderBy(F.desc("c"), "s").limit(MOST).select("s").collect()], np.int64).view(np.uint64))
+    with released(df.sparkSession):
+        frequent = np.sort(np.array([r.s for r in often.orderBy(F.desc("c"), "s").limit(MOST).select("s").collect()], np.int64).view(np.uint64))
     sketches = scratch.save(_sketches(docs, df.sparkSession.sparkContext.broadcast(frequent), similarity, width))
     roots = components(links(docs, sketches, scratch, similarity, width), scratch)
     marked = sketches.select("doc_id", "h", "key").join(roots, sketches["key"] == roots["node"], "left")
