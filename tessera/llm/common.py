@@ -17,6 +17,8 @@ from tessera.sources.scratch import Scratch, apart, released, shared_dir  # noqa
 
 #: Bits of a bitmap: 8 MB, whatever there is in it.
 BITMAP = 26
+#: Whole texts of one Arrow batch at most.
+ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,14 @@ def forget(but: str = "") -> int | None:
     return task
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on in this session Arrow batches have `ROWS` rows at most. The JVM and each worker hold a batch several
+    times, and whole texts are large. Results are lazy, so it must last beyond the call."""
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(most)) <= ROWS:
+        spark.conf.set(most, ROWS)
+
+
 def fixed_bitmap(keys: DataFrame):
     """Broadcast: the low bits of the longs `k`, 2^20 words of 64 bits whatever there are. Rows that pass it may be more
     than those in it, never fewer; whoever uses it decides the rest exactly."""

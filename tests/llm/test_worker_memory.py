@@ -64,3 +64,14 @@ def test_one_task_may_use_two_and_the_next_drops_them(monkeypatch):
     Task.at = 3
     common.forget()
     assert not common._kept
+
+
+def test_batches_of_whole_texts_are_small_in_every_stage(spark):
+    most = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.createDataFrame([(i, "some words", "en", "s", 10) for i in range(3)], "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set(most, 10_000)
+    assert corpus_pipeline.encoding(spark, docs, "").count() == 3 and int(spark.conf.get(most)) == common.ROWS
+    spark.conf.set(most, 7)  # a smaller one stays
+    corpus_pipeline.encoding(spark, docs, "")
+    assert spark.conf.get(most) == "7"
+    spark.conf.unset(most)
